@@ -11,7 +11,7 @@ each row in; other columns of the input are not looked at.
 
 from __future__ import annotations
 
-import bisect
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +44,12 @@ class Coder:
         self.tok.no_truncation()
         self.leaf, self.window, self.known = leaf, window, known
         self.words: dict[bytes, tuple[str, str, int]] = {}
+        self.stems: dict[bytes, list[int]] = {}
         special = self.tok.get_added_tokens_decoder()
-        ends = {i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")}
+        #: Token of each id; without a decoder, decoding joins them by one space.
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.names = {i: t for t, i in vocabulary.items()} if self.tok.decoder is None else {}
+        ends = {i for t, i in vocabulary.items() if t.endswith("</w>")}
         #: Ids that close a unit which no merge crosses.
         self.closing = ends | set(special)
 
@@ -77,7 +81,8 @@ class Coder:
             # The unit that the window itself cuts off proves nothing, nor does one next to an end of its text.
             first = (0, 0) if lo == a else next(((ends[p], own[p]) for p in sorted(own) if p in ends and lo + 1 < p < at - 1), None)
             last = (len(right_ids), len(ids)) if hi == b else next(((starts[p], own[p]) for p in sorted(own, reverse=True) if p in starts and at + 1 < p < hi - 1), None)
-            if first and last and first[1] <= last[1] and self._agree(left_ids, left_off, right_ids, right_off, ids, off, first, last, at):
+            whole = lo == a and hi == b
+            if whole or first and last and first[1] <= last[1] and self._agree(left_ids, left_off, right_ids, right_off, ids, off, first, last, at):
                 return a, b, left_ids[: first[0]] + ids[first[1] : last[1]] + right_ids[last[0] :], left_off[: first[0]] + off[first[1] : last[1]] + right_off[last[0] :]
             size *= 4
 
@@ -89,24 +94,60 @@ class Coder:
         outer = [i for i in range(first[1], last[1]) if off[i][0] > at + 1]
         return same and all(right_ids[last[0] - (last[1] - i)] == ids[i] for i in outer[len(outer) - len(outer) // 2 :] if last[0] - (last[1] - i) >= 0)
 
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        short = [(w, t) for w, t in zip(words, texts, strict=True) if len(t) <= self.leaf]
-        found = dict(zip((w for w, _ in short), (ids for ids, _ in self._plain([t for _, t in short])), strict=True))
-        found |= {w: self.tree(t) for w, t in zip(words, texts, strict=True) if w not in found}
-        shown = self.tok.decode_batch(list(found.values()), skip_special_tokens=False)
-        for (w, ids), text in zip(found.items(), shown, strict=True):
-            self.words[w] = (" ".join(map(str, ids)), text, len(ids))
+    def _short(self, words: list[tuple[bytes, str]]):
+        """Ids of words encoded together with spaces between, dealt back by their offsets."""
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            e = self.tok.encode(" ".join([t for _, t in part]), add_special_tokens=False)
+            ids, begins, k, end = e.ids, [x for x, _ in e.offsets], 0, -1
+            for w, t in part:
+                end += len(t) + 1
+                j = k
+                while j < len(begins) and begins[j] < end:
+                    j += 1
+                yield w, ids[k:j]
+                k = j
+
+    def learn(self, words) -> None:
+        """Adds words to the table. The tokenizer lowers letters and cuts signs off them, so most words share a stem."""
+        cut = {}
+        for w in words:
+            stem, tail = w, b""
+            if b"<" not in w:
+                stem = w.lower()
+                core = stem.rstrip(b".,;:!?")
+                if core != stem and core[-1:].isalnum():
+                    stem, tail = core, stem[len(core) :]
+            cut[w] = (stem, tail)
+        stems = self.stems
+        new = {x for pair in cut.values() for x in pair if x and x not in stems}
+        plain = [w for w in new if w.isalpha() and w.islower() and len(w) <= self.leaf]
+        tokenize = self.tok.model.tokenize
+        for w in plain:
+            stems[w] = [t.id for t in tokenize(w.decode())]
+        texts = [(w, w.decode()) for w in new.difference(plain)]
+        stems.update(self._short([x for x in texts if len(x[1]) <= self.leaf]))
+        for w, t in texts:
+            if len(t) > self.leaf:
+                stems[w] = self.tree(t)
+        names, known = self.names, self.words
+        stems[b""] = []
+        for w, (stem, tail) in cut.items():
+            ids = stems[stem] + stems[tail] if tail else stems[stem]
+            shown = " ".join([names[i] for i in ids]) if names else self.tok.decode(ids, skip_special_tokens=False)
+            known[w] = (" ".join([str(i) for i in ids]), shown, len(ids))
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """For each text the ids in decimals, the text decoded from them, and their number."""
         split = [t.encode().split() for t in texts]  # bytes.split() cuts at ASCII white space alone
         if len(self.words) > self.known:
             self.words.clear()
+        if len(self.stems) > self.known:
+            self.stems.clear()
         known = self.words
         missing = {w for words in split for w in words if w not in known}
         if missing:
-            self.learn(list(missing))
+            self.learn(missing)
         out = []
         for words in split:
             got = [g for w in words if (g := known[w])[2]]
@@ -120,6 +161,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         import pyarrow as pa
 
+        gc.disable()  # the tables hold no cycles, and walking them costs more than all else
         coder = Coder(path, leaf)
         for batch in batches:
             n = batch.num_rows
