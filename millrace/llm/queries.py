@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe_tree
+from .kdtree import op1_kd_tree
+from .lines import OP2_SQL, op2_line_frequency
+from .neardup import op4_projection_passes
 from .secrets import op3_secret_layers
+from .simhash import op5_simhash_pigeonhole
+from .warc import op10_warc_shards
 
 QUERIES = {
+    "op1_kd_tree": op1_kd_tree,
+    "op2_line_frequency": op2_line_frequency,
     "op3_secret_layers": op3_secret_layers,
+    "op4_projection_passes": op4_projection_passes,
+    "op5_simhash_pigeonhole": op5_simhash_pigeonhole,
     "op6_bpe_tree": op6_bpe_tree,
+    "op10_warc_shards": op10_warc_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_frequency": OP2_SQL}
