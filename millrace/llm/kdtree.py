@@ -47,23 +47,17 @@ def dimensions(df: DataFrame, text_col: str = "text") -> dict[str, F.Column]:
 class _Split:
     """The search for one node's boundary: key components are compared one after the other."""
 
-    def __init__(self, node, shards, weight, keys, low, high):
-        self.node, self.shards, self.weight = node, shards, weight
+    def __init__(self, node, shards, weight, dim, low, high):
+        self.node, self.shards, self.weight, self.dim = node, shards, weight, dim
         self.left = shards // 2
         self.want = weight * self.left / shards
-        self.keys, self.fixed, self.low, self.high, self.below = keys, [], low, high, 0
+        self.fixed, self.low, self.high, self.below = [], low, high, 0
         self.done = False
 
-    def inside(self) -> F.Column:
-        c = F.col(self.keys[len(self.fixed)])
-        cond = (F.col("node") == self.node) & c.between(self.low, self.high)
-        for k, v in zip(self.keys, self.fixed, strict=False):
-            cond &= F.col(k) == v
-        return cond
-
-    def bin(self) -> F.Column:
-        width = (self.high - self.low) // BINS + 1
-        return F.expr(f"({self.keys[len(self.fixed)]} - {self.low}L) div {width}L")
+    def search(self) -> tuple:
+        """node, dimension, component, what the components before it equal, interval and bin width."""
+        f = [*self.fixed, 0, 0]
+        return self.node, self.dim, len(self.fixed), f[0], f[1], self.low, self.high, (self.high - self.low) // BINS + 1
 
     def narrow(self, bins, tolerance):
         """bins: (least, most, weight) in order. Keeps the one that holds the boundary, or ends."""
@@ -73,7 +67,7 @@ class _Split:
                 break
             at += w
         over, under = at + w - self.want, self.want - at
-        last = len(self.fixed) + 1 == len(self.keys)
+        last = len(self.fixed) == 2
         if least == most and last or min(over, under) <= tolerance:
             # The whole bin goes to the nearer side.
             self.done, self.bound = True, [*self.fixed, most if over <= under else least - 1]
@@ -83,12 +77,15 @@ class _Split:
         else:
             self.low, self.high, self.below = least, most, at
 
-    def goes_left(self) -> F.Column:
-        cond = F.lit(False)
-        for i in range(len(self.bound) - 1, -1, -1):
-            c, v = F.col(self.keys[i]), F.lit(self.bound[i])
-            cond = c <= v if i == len(self.bound) - 1 else (c < v) | ((c == v) & cond)
-        return cond
+    def boundary(self, left: int, right: int) -> tuple:
+        b = [*self.bound, 0, 0]
+        return self.node, self.dim, len(self.bound), b[0], b[1], b[2], left, right
+
+
+def _rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A table of fewer rows than there are shards, sent with the plan."""
+    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"select * from values {values} as t({names})"))
 
 
 def kd_shards(df: DataFrame, shards: int = SHARDS, dims: Callable[[DataFrame], dict[str, F.Column]] = dimensions, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,9 +101,10 @@ def kd_shards(df: DataFrame, shards: int = SHARDS, dims: Callable[[DataFrame], d
             _positive(F.xxhash64(F.lit(7), F.col(id_col))).alias("id_key"),
             *[c.alias(f"dim_{k}") for k, c in coords.items()],
         )
-    ).withColumn("node", F.lit(0))
+    ).withColumn("node", F.lit(0).cast("long"))
     names = [f"dim_{k}" for k in coords]
     extents = lambda d: d.groupBy("node").agg(F.sum("size").alias("w"), *[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).collect()  # noqa: E731  a row for each node
+    coordinate = F.element_at(F.array(*names), (F.col("dim") + 1).cast("int"))
     open_nodes, whole, n_next, tolerance, shard_of = {0: shards}, None, 1, 0, {}
     while open_nodes:
         splits = {}
@@ -118,37 +116,34 @@ def kd_shards(df: DataFrame, shards: int = SHARDS, dims: Callable[[DataFrame], d
             if k > 1:
                 widest = max(range(len(names)), key=lambda i: (spans[i] / whole[i], -i))
                 c = names[widest]
-                splits[r["node"]] = _Split(r["node"], k, r["w"], [c, "text_key", "id_key"], r[f"min_{c}"], r[f"max_{c}"])
+                splits[r["node"]] = _Split(r["node"], k, r["w"], widest, r[f"min_{c}"], r[f"max_{c}"])
         while live := [s for s in splits.values() if not s.done]:
-            which, place = None, None
-            for s in live:
-                which = s.inside() if which is None else which | s.inside()
-                place = F.when(s.inside(), s.bin()) if place is None else place.when(s.inside(), s.bin())
-            keyed = None
-            for s in live:
-                key = F.col(s.keys[len(s.fixed)])
-                keyed = F.when(s.inside(), key) if keyed is None else keyed.when(s.inside(), key)
-            got = base.where(which).select("node", "size", place.alias("bin"), keyed.alias("key")).groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min("key").alias("least"), F.max("key").alias("most"))
+            asked = _rows(df.sparkSession, [x.search() for x in live], "node, dim, component, f0, f1, low, high, width")
+            place = F.when(F.col("component") == 0, coordinate).when(F.col("component") == 1, F.col("text_key")).otherwise(F.col("id_key"))
+            met = ((F.col("component") < 1) | (coordinate == F.col("f0"))) & ((F.col("component") < 2) | (F.col("text_key") == F.col("f1"))) & F.col("key").between(F.col("low"), F.col("high"))
+            got = base.join(asked, "node").withColumn("key", place).where(met).groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("w"), F.min("key").alias("least"), F.max("key").alias("most"))
             rows: dict[int, list] = {}
             for r in got.collect():  # at most BINS rows for each of fewer than `shards` nodes
                 rows.setdefault(r["node"], []).append((r["least"], r["most"], r["w"]))
             for s in live:
                 s.narrow(sorted(rows[s.node]), tolerance)
         # Nodes with rows were split; one that owes shards but has no rows left them empty.
-        step, following = None, {}
-        for i, s in splits.items():
+        if not splits:
+            break
+        following, cuts = {}, []
+        for i, x in splits.items():
             a, b = n_next, n_next + 1
             n_next += 2
-            following |= {a: s.left, b: s.shards - s.left}
-            go = F.when(s.goes_left(), F.lit(a)).otherwise(F.lit(b))
-            step = F.when(F.col("node") == i, go) if step is None else step.when(F.col("node") == i, go)
-            shard_of[a] = shard_of.get(i, 0)
-            shard_of[b] = shard_of.get(i, 0) + s.left
-        if step is None:
-            break
-        base = base.withColumn("node", step.otherwise(F.col("node")))
+            following |= {a: x.left, b: x.shards - x.left}
+            cuts.append(x.boundary(a, b))
+            shard_of |= {a: shard_of.get(i, 0), b: shard_of.get(i, 0) + x.left}
+        bounds = _rows(df.sparkSession, cuts, "node, dim, length, b0, b1, b2, to_left, to_right")
+        rest = (F.col("length") == 2) | (F.col("id_key") <= F.col("b2"))
+        inner = (F.col("length") == 1) | (F.col("text_key") < F.col("b1")) | ((F.col("text_key") == F.col("b1")) & rest)
+        goes = (coordinate < F.col("b0")) | ((coordinate == F.col("b0")) & inner)
+        base = base.join(bounds, "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).when(goes, F.col("to_left")).otherwise(F.col("to_right"))).select(*base.columns)
         open_nodes = {i: k for i, k in following.items() if k > 1}
-    numbers = F.create_map(*[F.lit(x) for i, s in (shard_of or {0: 0}).items() for x in (i, s)])
+    numbers = F.create_map(*[F.lit(x).cast("long") for pair in (shard_of or {0: 0}).items() for x in pair])
     final = cut(base.select("id", "size", "crc", "text_key", numbers[F.col("node")].alias("shard")))
     total = final.count()
     buckets = max(64, total // (shards * BUCKET_ROWS))
