@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe_tree
+from .html_blocks import op7_html_blocks
 from .kdtree import op1_kd_tree
 from .lines import OP2_SQL, op2_line_frequency
 from .neardup import op4_projection_passes
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_projection_passes": op4_projection_passes,
     "op5_simhash_pigeonhole": op5_simhash_pigeonhole,
     "op6_bpe_tree": op6_bpe_tree,
+    "op7_html_blocks": op7_html_blocks,
     "op10_warc_shards": op10_warc_shards,
 }
 
