@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df computed once, and marked for broadcast only if it has at most so many rows; they must be of a bounded width."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def word_array(text: F.Column) -> F.Column:
     """The words of a text: runs of anything but ASCII white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

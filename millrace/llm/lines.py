@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_array
+from .common import checked_broadcast, table, word_array
 
 #: Distinct texts of a host beyond which a line is boilerplate.
 MAX_TEXTS = 20
@@ -34,16 +34,17 @@ def line_structs(text: F.Column) -> F.Column:
 
 
 def depletion(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
-    """(host, text_hash, removed): characters of boilerplate lines for each text of a host that has any."""
+    """(host, text_hash, removed, line_chars): characters of boilerplate lines, and of all, for each text of a host that has any."""
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
     text = F.col(text_col)
     rows = df.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(id_col).alias("id"), F.sort_array(line_structs(text)).alias("sorted"))
     got, n = F.col("sorted"), F.size("sorted")
     first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(got, i)["h"] != F.get(got, i - 1)["h"]))
     rows = rows.where(n > 0).withColumn("first", first)
+    rows = rows.withColumn("line_chars", F.aggregate("sorted", F.lit(0).cast("long"), lambda a, x: a + x["chars"]))
     runs = F.transform("first", lambda s, k: F.struct(F.get(got, s)["h"].alias("h"), (F.get(got, s)["chars"] * (F.coalesce(F.get("first", k + 1), n) - s)).alias("chars")))
-    rows = rows.select("host", "text_hash", "id", F.explode(runs).alias("line")).select("host", "text_hash", "id", "line.h", "line.chars")
-    once = rows.groupBy("host", "h", "text_hash").agg(F.min("id").alias("id"), F.max("chars").alias("chars"))
+    rows = rows.select("host", "text_hash", "id", "line_chars", F.explode(runs).alias("line")).select("host", "text_hash", "id", "line_chars", "line.h", "line.chars")
+    once = rows.groupBy("host", "h", "text_hash").agg(F.min("id").alias("id"), F.max("chars").alias("chars"), F.max("line_chars").alias("line_chars"))
     often = (
         once.groupBy("host", "h")
         .agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("id", "text_hash")).alias("first"))
@@ -51,7 +52,7 @@ def depletion(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", t
         .select("host", "h", F.col("first.text_hash").alias("first_hash"))
     )
     hit = once.join(often, ["host", "h"]).where("text_hash <> first_hash")
-    return hit.groupBy("host", "text_hash").agg(F.sum("chars").alias("removed"))
+    return hit.groupBy("host", "text_hash").agg(F.sum("chars").alias("removed"), F.max("line_chars").alias("line_chars"))
 
 
 def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -99,7 +100,7 @@ def line_quality(df: DataFrame, host_col: str = "source", id_col: str = "doc_id"
         F.aggregate(line_structs(text), F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("line_chars"),
         text.alias("text"),
     )
-    out = base_columns(rows, "text").join(gone, ["host", "text_hash"], "left")
+    out = base_columns(rows, "text").join(gone.drop("line_chars"), ["host", "text_hash"], "left")
     removed = F.coalesce("removed", F.lit(0).cast("long"))
     depleted = F.col("line_chars") - removed < F.lit(min_share) * F.col("line_chars")
     return out.select(
@@ -107,6 +108,15 @@ def line_quality(df: DataFrame, host_col: str = "source", id_col: str = "doc_id"
     )
 
 
+def kept_rows(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of df that line_quality keeps, with its columns. Texts are shuffled only if the depleted ones are too many to broadcast."""
+    gone = depletion(df, host_col, id_col, text_col, max_texts)
+    depleted = checked_broadcast(gone.where(F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars")).select("host", "text_hash"))
+    text = F.col(text_col)
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    return base_columns(rows, "text").where(~F.col("base_failed")).join(depleted, ["host", "text_hash"], "left_anti").select("row.*")
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 

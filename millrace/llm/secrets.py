@@ -286,6 +286,34 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return source.mapInArrow(run, f"id long, base {SPANS}, added {SPANS}, incomplete boolean" + ", redacted string" * redact).withColumnRenamed("id", id_col)
 
 
+def redacted_rows(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", max_layer: int = MAX_LAYER) -> DataFrame:
+    """df with every span found replaced by a mark, and the number of characters with it."""
+    names = df.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        at = names.index(text_col)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                cols = list(part.columns)
+                new, changed = [], {}
+                for i, t in enumerate(cols[at].to_pylist()):
+                    base, added, _ = find(t, max_layer) if t else ((), (), False)
+                    if base or added:
+                        t = redacted(t, [*base, *added])
+                        changed[i] = len(t)
+                    new.append(t)
+                cols[at] = pa.array(new, cols[at].type)
+                if changed and chars_col in names:
+                    k = names.index(chars_col)
+                    cols[k] = pa.array([changed.get(i, n) for i, n in enumerate(cols[k].to_pylist())], cols[k].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def spans_text(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, cut, table
@@ -276,6 +277,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", F.col("low").alias("component"))
 
 
+def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group: the one of the smallest id, with the columns of df. Null ids count as the smallest; of repeated rows of an id and text one stays."""
+    key, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = df.select(key.alias("id"), F.col(text_col).alias("text"))
+    found = simhash_components(slim, "id", "text", **options).where("id = component").select("id").distinct()
+    named = df.select(F.struct("*").alias("row"), key.alias("id"), text_hash.alias("text_hash"))
+    rank = F.row_number().over(W.partitionBy("id", "text_hash").orderBy("text_hash"))
+    return named.join(found, "id", "left_semi").withColumn("rank", rank).where("rank = 1").select("row.*")
+
+
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_components(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
