@@ -114,7 +114,9 @@ def kept_rows(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", t
     depleted = checked_broadcast(gone.where(F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars")).select("host", "text_hash"))
     text = F.col(text_col)
     rows = df.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return base_columns(rows, "text").where(~F.col("base_failed")).join(depleted, ["host", "text_hash"], "left_anti").select("row.*")
+    # Behind a generator, so that the optimiser does not push the filter, and with it a copy of all that it rests on, below each step.
+    judged = base_columns(rows, "text").select("row", "host", "text_hash", F.explode(F.array("base_failed")).alias("failed"))
+    return judged.where(~F.col("failed")).join(depleted, ["host", "text_hash"], "left_anti").select("row.*")
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
