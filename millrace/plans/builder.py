@@ -209,7 +209,7 @@ class Builder:
                 if isinstance(x, S.InQuery) and x not in marks:
                     df = self._in_query(df, x, compiler, "left")
                     marks[x] = Expr(Kind.NULL, F.col(f"_in{self.subqueries}").isNotNull())
-            df = df.where(compiler.with_known(marks).predicate(n) if marks else compiler.predicate(n))
+            df = df.where((compiler.with_known(marks) if marks else compiler).predicate(n, loose=True))
         return df
 
     def _in_query(self, df: DataFrame, node: S.InQuery, compiler: Compiler, how: str) -> DataFrame:

@@ -293,48 +293,51 @@ class Compiler:
             return scalar.substring(text, int(rest[0].text), int(rest[1].text))
         raise QueryError("SUBSTR function requires 2 numbers or 1 pattern")
 
-    # predicates: true or false, never null
+    # predicates
 
-    def predicate(self, node: S.Node) -> Column:
+    def predicate(self, node: S.Node, loose: bool = False) -> Column:
+        """True or false, never null. `loose`: null may stand for false, as a filter takes it; such comparisons reach the scan."""
         if node in self.known:
             return self.known[node].col
+        sure = (lambda c: c) if loose else (lambda c: F.coalesce(c, F.lit(False)))
         match node:
+            case S.Logic("xor", left, right):
+                return self.predicate(left) != self.predicate(right)
             case S.Logic(op, left, right):
-                a, b = self.predicate(left), self.predicate(right)
-                return a & b if op == "and" else a | b if op == "or" else a != b
+                a, b = self.predicate(left, loose), self.predicate(right, loose)
+                return a & b if op == "and" else a | b
             case S.Not(of):
                 return ~self.predicate(of)
-            case S.Compare(op, left, right):
-                return self._compare(op, left, right)
+            case S.Compare():
+                return self._compare(node, loose)
             case S.Between(of, low, high, negated):
                 kind = self.blended(of, low, high).kind
                 x, a, b = (self.column(n, kind) for n in (of, low, high))
+                known = a.isNotNull() & b.isNotNull()  # least and greatest skip nulls
                 inside = (x >= F.least(a, b)) & (x <= F.greatest(a, b))
-                known = x.isNotNull() & a.isNotNull() & b.isNotNull()
-                return F.coalesce(known & (~inside if negated else inside), F.lit(False))
+                return sure(known & (~inside if negated else inside))
             case S.Like(of, pattern, is_null):
                 if is_null:
                     return self.column(of, Kind.TEXT).isNull()
                 regex = pattern.replace("_", ".").replace("%", ".*")
-                return F.coalesce(self.column(of, Kind.TEXT).rlike(rf"(?is)\A(?:{regex})\z"), F.lit(False))
+                return sure(self.column(of, Kind.TEXT).rlike(rf"(?is)\A(?:{regex})\z"))
             case S.InList(of, items):
-                if not items:
-                    return F.lit(False)
                 kind = self.blended(of, *items).kind
                 x = self.column(of, kind)
                 values = [i for i in items if not (isinstance(i, S.Word) and not i.quoted and i.text.lower() == "null")]
                 out = F.lit(False)
                 if values and all(isinstance(i, S.Word) and self.typed(i).literal for i in values):
-                    out = F.coalesce(x.isin(*[self.column(i, kind) for i in values]), F.lit(False))
+                    out = sure(x.isin(*[self.column(i, kind) for i in values]))
                 else:
                     for i in values:
                         out = out | x.eqNullSafe(self.column(i, kind))
                 return out | x.isNull() if len(values) < len(items) else out
         raise QueryError("Expected a predicate")
 
-    def _compare(self, op: str, left: S.Node, right: S.Node) -> Column:
-        kind = self.blended(left, right).kind
-        a, b = self.column(left, kind), self.column(right, kind)
+    def _compare(self, node: S.Compare, loose: bool) -> Column:
+        op = node.op
+        kind = self.blended(node.left, node.right).kind
+        a, b = self.column(node.left, kind), self.column(node.right, kind)
         if op in ("=", "<>"):
             if self.joining and kind == Kind.TEXT:
                 # Empty keys meet.
@@ -342,8 +345,10 @@ class Compiler:
                 return a == b if op == "=" else a != b
             return a.eqNullSafe(b) if op == "=" else ~a.eqNullSafe(b)
         test = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+        if op in ("<", "<=") or self.joining:
+            return test if loose else F.coalesce(test, F.lit(False))
         # > and >= are the complements of <= and <, so a null on either side makes them true; a join matches no nulls.
-        return F.coalesce(test, F.lit(op in (">", ">=") and not self.joining))
+        return test | a.isNull() | b.isNull() if loose else F.coalesce(test, F.lit(True))
 
     # aggregates
 
