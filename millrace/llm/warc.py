@@ -194,16 +194,18 @@ def _put(spark: SparkSession, path: str, name: str, data: bytes) -> None:
         raise OSError(f"{name} could not be committed")
 
 
-def parse(data: bytes):
-    """(headers, block) of each record in a file of gzip members, one after the other."""
+def parse(data: bytes, piece: int = 1 << 16):
+    """(headers, block) of each record in a file of gzip members. Members are fed in pieces, so that what lies behind one is not copied for each."""
     at, view = 0, memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(view[at:])
-        if not d.eof:
-            raise ValueError("truncated archive")
-        at = len(data) - len(d.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("truncated archive")
+            fed = view[at : at + piece]
+            parts.append(d.decompress(fed))
+            at += len(fed) - len(d.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
 
