@@ -1,0 +1,122 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from millrace.llm.neardup import link_counts, near_duplicates, op4_projection_passes, passes_for
+from pyspark.sql import functions as F
+
+from .helpers import union_find
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def vectors(seed=0, groups=40, size=5, dim=24, alone=150):
+    r = np.random.default_rng(seed)
+    rows = []
+    for _ in range(groups):
+        centre = r.standard_normal(dim)
+        rows += [(centre + 0.18 * r.standard_normal(dim)) for _ in range(size)]
+    rows += list(r.standard_normal((alone, dim)))
+    order = r.permutation(len(rows))
+    return [(int(i), [float(x) for x in np.float32(rows[k])], int(k) % 3) for i, k in enumerate(order)]
+
+
+def usable(v):
+    return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+
+def brute(rows, threshold=0.9):
+    """Links by exact comparison of all rows, by place."""
+    links = []
+    unit = [np.array(r[1], float) / np.linalg.norm(np.array(r[1], float)) if usable(r[1]) else None for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold:
+                links.append((i, j))
+    return links
+
+
+def recall(rows, got, threshold=0.9):
+    """Share of the linked pairs that ended in one component; none beyond them may link."""
+    links = brute(rows, threshold)
+    ids = [r[0] for r in rows]
+    best = union_find(range(len(rows)), links)
+    component = {r["vec_id"]: r["component_id"] for r in got}
+    true = {}
+    for p, c in best.items():
+        true.setdefault(c, set()).add(ids[p])
+    for r in got:
+        home = next(s for s in true.values() if r["vec_id"] in s)
+        assert r["component_id"] in home
+    hits = sum(component[ids[a]] == component[ids[b]] for a, b in links)
+    return hits / len(links) if links else 1
+
+
+def test_small_tables_are_exact(spark):
+    rows = vectors(groups=10, alone=40)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    links = brute(rows)
+    count = {i: 0 for i in range(len(rows))}
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    assert {r["vec_id"]: r["n_links"] for r in got} == {rows[i][0]: n for i, n in count.items()}
+    assert recall(rows, got) == 1
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_recall_beyond_the_windows(spark):
+    rows = vectors(seed=3, groups=150, alone=900)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), window=24).collect()
+    assert len(got) == len(rows) and recall(rows, got) >= 0.95
+
+
+def test_dense_groups_are_exact(spark):
+    """More near copies than a window holds, and more than a block."""
+    r = np.random.default_rng(5)
+    centre = r.standard_normal(16)
+    rows = [(i, [float(x) for x in np.float32(centre + 0.05 * r.standard_normal(16))], 0) for i in range(700)]
+    rows += [(1000 + i, rows[0][1], 0) for i in range(300)]
+    got = {x["vec_id"]: x for x in near_duplicates(spark.createDataFrame(rows, SCHEMA), window=16).collect()}
+    assert {x["component_id"] for x in got.values()} == {0}
+    assert {x["n_links"] for x in got.values()} == {999}
+
+
+def test_bad_vectors_link_with_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [inf, 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0, 0.0], 0), (10, None, 0), (11, [0.0, -0.0], 0), (12, [3e38, 0.0], None), (None, [1.0, 0.01], 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("clash") for n in ("id", "v", "class", "node", "component", "weight", "least", "low")})
+    got = near_duplicates(df)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    rows = {r["vec_id"]: tuple(r)[1:] for r in got.collect()}
+    assert all(rows[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11))
+    assert all(rows[i][0] == 3 for i in (1, 2, 12, None))
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert [tuple(r) for r in near_duplicates(spark.createDataFrame([(4, [1.0], 0)], SCHEMA)).collect()] == [(4, 0, 4, True)]
+
+
+def test_repeated_rows(spark):
+    rows = [(1, [1.0, 2.0], 0)] * 3 + [(2, [2.0, 4.0], 0)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 3, 1, True)] * 3 + [(2, 3, 1, False)]
+
+
+def test_counts_in_blocks(spark):
+    rows = [(0, i, [float(random.Random(i).random()), 1.0], 1 + i % 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "component long, node long, v array<float>, weight long")
+    many = {r["node"]: r["links"] for r in link_counts(df, 0.99, block=7).collect()}
+    one = {r["node"]: r["links"] for r in link_counts(df, 0.99, block=512).collect()}
+    assert many == one and len(one) == 50
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000, 10**6, 10**9])
+def test_passes_follow_the_table(n):
+    assert 6 <= passes_for(n) <= 64 and passes_for(n) <= passes_for(10 * n + 1)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = op4_projection_passes(spark, sf).collect()
+    assert len(got) == len(rows) and recall(rows, got) >= 0.9
