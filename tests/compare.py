@@ -26,7 +26,7 @@ def connection(sf_dir: str):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for p in Path(sf_dir).glob("*.parquet"):
-        con.execute(f"create view {p.stem} as select * from read_parquet('{p}{'/*' if p.is_dir() else ''}')")
+        con.execute(f"create view {p.stem} as select * from read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     return con
 
 
