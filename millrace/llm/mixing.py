@@ -143,9 +143,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """df with each row as often as it is drawn."""
     _, sources, n = mixture(df, id_col, source_col, text_col, **options)
-    names = df.columns
-    found = df.withColumns({"_src": _source(source_col), _ROW_KEY: _row_key(id_col, text_col)}).join(_small(sources.select(F.col("src").alias("_src"), "passes", "whole", "blocks", "stop"), n), "_src")
-    return found.withColumn("_epoch", F.explode(epochs(F.col(_ROW_KEY)))).select(*names)
+    packed = df.select(F.struct("*").alias("row"), _source(source_col).alias("src"), _row_key(id_col, text_col).alias(_ROW_KEY))
+    found = packed.join(_small(sources.select("src", "passes", "whole", "blocks", "stop"), n), "src")
+    return found.select("row", F.explode(epochs(F.col(_ROW_KEY)))).select("row.*")
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
