@@ -81,14 +81,17 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def typed(df: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, url, html, digest hex, refers_to): the type of each record, from digests alone."""
+def digested(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(page_id, sha1 hex, size) of each record's payload."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
-    again = rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("d"), F.col("size").alias("z"), "first")
-    # Only records that share their payload are joined by it; they are found by id afterwards.
-    revisits = rows.select("page_id", "sha1", "size").join(again, (F.col("sha1") == F.col("d")) & (F.col("size") == F.col("z"))).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("sha1").alias("d"), "first").distinct()
-    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("d")), "left").select("page_id", "url", "html", "sha1", "size", F.col("first").alias("refers_to"))
+    return df.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+
+
+def revisits(slim: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, sha1, refers_to) of the records that repeat an earlier payload, from digests alone."""
+    again = slim.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("d"), F.col("size").alias("z"), "first")
+    met = slim.join(again, (F.col("sha1") == F.col("d")) & (F.col("size") == F.col("z"))).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return met.select("page_id", "sha1", F.col("first").alias("refers_to")).distinct()
 
 
 def shard_bounds(sizes: DataFrame, target: int) -> list[int]:
@@ -115,8 +118,8 @@ def shard_bounds(sizes: DataFrame, target: int) -> list[int]:
 def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, roll: int = ROLL, shard: int = SHARD) -> list[dict]:
     """Writes the archive and returns its manifest, a row for each file."""
     spark = df.sparkSession
-    sizes = cut(df.select(F.col(id_col).cast("long").alias("page_id"), (F.coalesce(F.octet_length(html_col), F.lit(0)) + 512).cast("long").alias("size")).groupBy("page_id").agg(F.sum("size").alias("size")))
-    bounds = shard_bounds(sizes, shard)
+    slim = cut(digested(df, id_col, html_col))
+    bounds = shard_bounds(slim.select("page_id", (F.col("size") + 512).alias("size")), shard)
     # Ids go to shards by binary search over the bounds, a table of one row for each shard.
     which = F.expr(f"{_search(bounds, 0, len(bounds))}")
 
@@ -126,7 +129,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         files, root = _files(path)
         files.create_dir(f"{root}/_temporary", recursive=True)
         attempt = uuid.uuid4().hex
-        out, at, done = None, None, []
+        out, at, done, mark = None, None, [], None
 
         def close():
             nonlocal out
@@ -136,7 +139,11 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
                 out = None
 
         for batch in batches:
-            for shard_no, page_id, url, html, sha1, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for shard_no, page_id, sha1, is_record, refers, url, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not is_record:
+                    mark = page_id, sha1, refers
+                    continue
+                refers = mark[2] if mark is not None and mark[:2] == (page_id, sha1) else None
                 if out is None or shard_no != at:
                     close()
                     at, number = shard_no, 0
@@ -158,8 +165,18 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in done], t) for n, t in zip(names, types, strict=True)], names)
 
-    rows = typed(df, id_col, url_col, html_col, min_bytes).withColumn("shard", which)
-    sent = rows.select("shard", "page_id", "url", "html", "sha1", "refers_to").repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "url")
+    # What a record refers to comes as a row of its own just before it, so payloads are shuffled once and joined with nothing.
+    records = df.select(
+        F.col(id_col).cast("long").alias("page_id"),
+        F.sha1(F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")).alias("sha1"),
+        F.lit(True).alias("is_record"),
+        F.lit(None).cast("long").alias("refers_to"),
+        F.col(url_col).cast("string").alias("url"),
+        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+    )
+    marks = revisits(slim, min_bytes).select("page_id", "sha1", F.lit(False).alias("is_record"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    rows = marks.unionByName(records).withColumn("shard", which).select("shard", *records.columns)
+    sent = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "is_record", "url")
     wrote = sent.mapInArrow(run, MANIFEST).collect()  # a row for each file
     store, hadoop = _store(spark, path)
     manifest = []
