@@ -1,13 +1,18 @@
-"""Joins on predicates. An OR or XOR of equalities becomes a union of hash joins, where Spark would compare all pairs."""
+"""Joins on predicates, so that Spark need not compare all pairs where there is another way.
+
+An OR or XOR of equalities becomes a union of hash joins; two bounds on one value become a band join.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..language import syntax as S
+from .ranges import band_join, is_large
 
 #: Beyond so many branches the plan stays one join.
 MAX_BRANCHES = 8
@@ -35,9 +40,25 @@ def branches(node: S.Node, predicate, keyed) -> list[Branch]:
     return [Branch(predicate(node), keyed(node))]
 
 
-def join(left: DataFrame, right: DataFrame, node: S.Node, kind: str, predicate, keyed) -> DataFrame:
+@dataclass(frozen=True)
+class Band:
+    """A value of one side that two comparisons bound by the other side's."""
+
+    point: Column
+    low: Column
+    high: Column
+    is_date: bool
+    #: Whether the value is the left table's.
+    of_left: bool
+
+
+def join(left: DataFrame, right: DataFrame, node: S.Node, kind: str, predicate: Callable, keyed: Callable, band: Callable[[S.Node], Band | None]) -> DataFrame:
     """left joined to right; kind is inner or left. Their columns have distinct names."""
     found = branches(node, predicate, keyed)
+    if len(found) == 1 and not found[0].keyed and (b := band(node)) and (kind == "inner" or b.of_left) and is_large(left) and is_large(right):
+        sides = (left, right) if b.of_left else (right, left)
+        out = band_join(*sides, b.point, b.low, b.high, b.is_date, predicate(node), kind == "left")
+        return out.select(*left.columns, *right.columns)
     if len(found) == 1 or len(found) > MAX_BRANCHES or not all(b.keyed for b in found):
         return left.join(right, predicate(node), kind)
     # Rows of the left side stay apart even if equal: each branch joins, and the branches exclude each other.

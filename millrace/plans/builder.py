@@ -162,9 +162,37 @@ class Builder:
                 sides = [part.tables_of(x) for x in (node.left, node.right)] if isinstance(node, S.Compare) and node.op == "=" else []
                 return len(sides) == 2 and {i} in sides and all(sides)
 
-            df = joins.join(df, scope.tables[i].df, j.on, j.kind, compiler.predicate, keyed)
+            band = lambda node, compiler=compiler, i=i: self._band(node, compiler, i)
+            df = joins.join(df, scope.tables[i].df, j.on, j.kind, compiler.predicate, keyed, band)
         return df
 
+    def _band(self, node: S.Node, compiler: Compiler, i: int) -> joins.Band | None:
+        """What an AND chain bounds from both sides, if it does."""
+        chain, bounds = [node], {}
+        while chain:
+            n = chain.pop()
+            if isinstance(n, S.Logic):
+                if n.op != "and":
+                    return None
+                chain += [n.left, n.right]
+            elif isinstance(n, S.Compare) and n.op in ("<", "<=", ">", ">="):
+                small, large = (n.left, n.right) if n.op[0] == "<" else (n.right, n.left)
+                bounds.setdefault(large, {}).setdefault("low", small)
+                bounds.setdefault(small, {}).setdefault("high", large)
+            elif isinstance(n, S.Between) and not n.negated:
+                # The bounds may come in either order.
+                continue
+        for point, b in bounds.items():
+            if len(b) < 2:
+                continue
+            nodes = (point, b["low"], b["high"])
+            kinds = {compiler.blended(point, x).kind for x in nodes[1:]}
+            sides = [compiler.scope.tables_of(x) for x in nodes]
+            of_left = i not in sides[0] and bool(sides[0])
+            if len(kinds) == 1 and (kind := kinds.pop()) in (Kind.INT, Kind.FLOAT, Kind.DATE) and all((s == {i}) if of_left else (s and i not in s) for s in sides[1:]) and (of_left or sides[0] == {i}):
+                return joins.Band(*[compiler.column(x, kind) for x in nodes], kind == Kind.DATE, of_left)
+        return None
+
     def _check_join(self, node: S.Node, scope: Scope, i: int) -> None:
         """A comparison has the joined file on one side only, and earlier files or literals on the other."""
         if isinstance(node, (S.Logic, S.Not)):

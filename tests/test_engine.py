@@ -139,6 +139,30 @@ def test_or_of_equalities_is_a_union_of_hash_joins(run, spark):
         assert sorted(map(tuple, df.collect())) == sorted((i, j) for i in range(50) for j in range(20) if test(i == j, i % 7 == j % 3))
 
 
+@pytest.mark.parametrize("kind", ["join", "left join"])
+@pytest.mark.parametrize("on", ["a.x >= b.lo and a.x < b.hi", "b.lo <= a.x and b.hi > a.x and a.y <> b.w", "b.lo < a.x and a.x <= b.hi", "a.d >= b.dlo and a.d < b.dhi"])
+def test_two_bounds_are_a_band_join(spark, tmp_path, kind, on):
+    values = [None if i % 17 == 0 else (i * 7919) % 1000 / 4 for i in range(400)]
+    a = spark.createDataFrame([(i, x, i % 3) for i, x in enumerate(values)], "k int, x double, y int").selectExpr("*", "timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, x) as d")
+    spans = [(i, None if i % 11 == 0 else float(i * 13 % 250), None if i % 7 == 0 else float(i * 13 % 250 + i % 40 - 3)) for i in range(80)] + [(99, -1e9, 1e9)]
+    b = spark.createDataFrame([(i, lo, hi, i % 3) for i, lo, hi in spans], "j int, lo double, hi double, w int")
+    moved = lambda c: f"timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, greatest(least({c}, 1e6), -1e6))"
+    b = b.selectExpr("*", f"if(lo is null, null, {moved('lo')}) as dlo", f"if(hi is null, null, {moved('hi')}) as dhi")
+    for name, df in (("a", a), ("b", b)):
+        df.write.parquet(f"{tmp_path}/{name}")  # Spark knows the size of files
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "ab")
+    plans = []
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        engine = Engine(spark).register("ta", a).register("tb", b)
+        df = engine.sql(f"select k, j from ta a {kind} tb b on {on}")
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, df.collect()), key=str)))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0][1] == plans[1][1] and len(plans[0][1]) > 400
+    assert "NestedLoop" in plans[0][0]
+    assert "NestedLoop" not in plans[1][0] and "Cartesian" not in plans[1][0]
+
+
 def test_empty_tables(run, spark):
     run.engine.register("none", spark.createDataFrame([], "k int, t string"))
     assert run("select * from none") == []
