@@ -145,9 +145,18 @@ class Builder:
                 raise QueryError(f"Cannot use aggregate functions in {where}")
 
     def _needs_order(self, query: S.Query, scope: Scope) -> bool:
-        """Whether some selection is the first or last of its group."""
+        """Whether some selection is the first or last of its group: a column outside aggregates and keys."""
+
+        def loose(node: S.Node) -> bool:
+            if node in query.group or isinstance(node, S.Call) and node.name in AGGREGATES:
+                return False
+            if isinstance(node, S.Word):
+                inner = scope.variable(node)
+                return loose(inner) if inner is not None else scope.column(node) is not None
+            return isinstance(node, S.Star) or any(map(loose, S.children(node)))
+
         nodes = [i.expr for i in query.items] + [k.expr for k in query.order] + ([query.having] if query.having is not None else [])
-        return any(isinstance(n, S.Star) or n not in query.group and any(isinstance(x, S.Word) and scope.column(x) and x not in query.group for x in scope.expanded(n)) for n in nodes)
+        return any(map(loose, nodes))
 
     # rows
 

@@ -20,6 +20,8 @@ class Catalog:
     def __init__(self, spark: SparkSession, path: str | None = None, multiline: bool = True, ragged: str = "raise"):
         self.spark, self.path, self.multiline, self.ragged = spark, path, multiline, ragged
         self.frames: dict[str, DataFrame] = {}
+        #: Streaming tables: rows as text, names, kinds, whether there is a header.
+        self.streams: dict[str, tuple] = {}
         self.aliases: dict[str, tuple[str, list[str]]] = {}
         if path and os.path.exists(path):
             with open(path) as f:
@@ -30,6 +32,9 @@ class Catalog:
     def register(self, name: str, df: DataFrame) -> None:
         self.frames[name] = df
 
+    def add_stream(self, name: str, folder: str, options: frozenset[str], files_per_batch: int | None) -> None:
+        self.streams[name] = delimited.read(self.spark, self.resolve(folder), options, self.multiline, self.ragged, True, files_per_batch)
+
     def add(self, name: str, path: str, options: frozenset[str]) -> None:
         self.aliases[name] = (self.resolve(path), sorted(options))
         self._save()
@@ -69,6 +74,9 @@ class Catalog:
         if name in self.frames:
             df = self.frames[name]
             return Table.of(df, df.columns, typed_kinds(df), False, True, aliases | {name}, number, ordered)
+        if name in self.streams:
+            df, names, kinds, header = self.streams[name]
+            return Table.of(df, names, kinds, True, header, aliases | {name}, number, ordered)
         if name in self.aliases:
             aliases.add(name)
             name, saved = self.aliases[name]

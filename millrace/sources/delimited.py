@@ -42,19 +42,22 @@ def delimiter(path: str, options: frozenset[str]) -> str:
     return found or ("\t" if path.endswith(".tsv") else ",")
 
 
-def read(spark: SparkSession, path: str, options: frozenset[str], multiline: bool = True, ragged: str = "raise") -> tuple[DataFrame, list[str], list[Kind], bool]:
+def _with_options(reader, sep: str, multiline: bool):
+    out = reader.option("sep", sep).option("escape", '"').option("multiLine", multiline).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("emptyValue", "")
+    return out if sep == "," else out.option("quote", "")  # quotes have a meaning with commas alone
+
+
+def read(spark: SparkSession, path: str, options: frozenset[str], multiline: bool = True, ragged: str = "raise", stream: bool = False, files_per_batch: int | None = None) -> tuple[DataFrame, list[str], list[Kind], bool]:
     """Rows as text, names, kinds, and whether the names come from a header.
 
     Quoted fields may span lines, so a file is one task; `multiline=False` lets Spark split files that hold no quoted
-    line breaks. Only `sample` rows and the first one are looked at before the query runs.
+    line breaks. Only `sample` rows and the first one are looked at before the query runs. stream: the rows go on with
+    files that come to the folder later.
     """
     if ragged not in RAGGED:
         raise QueryError(f"ragged must be one of {', '.join(RAGGED)}")
     sep = delimiter(path, options)
-    reader = spark.read.option("sep", sep).option("escape", '"').option("multiLine", multiline).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("emptyValue", "")
-    if sep != ",":
-        reader = reader.option("quote", "")  # quotes have a meaning with commas alone
-    first = reader.csv(path).limit(1).collect()
+    first = _with_options(spark.read, sep, multiline).csv(path).limit(1).collect()
     if not first:
         raise QueryError(f"{path} has no rows")
     cells = [x or "" for x in first[0]]
@@ -65,6 +68,11 @@ def read(spark: SparkSession, path: str, options: frozenset[str], multiline: boo
     else:
         header = not any(T.re.match(T.INTEGER, x) or T.re.match(T.DECIMAL, x) for x in cells)
     schema = ", ".join(f"c{i} string" for i in range(len(cells)))
-    df = reader.schema(schema).option("header", header).option("enforceSchema", True).option("mode", RAGGED[ragged]).csv(path)
+    whole = lambda reader: _with_options(reader, sep, multiline).schema(schema).option("header", header).option("enforceSchema", True).option("mode", RAGGED[ragged])
     names = [x if header and x else f"col{i}" for i, x in enumerate(cells, 1)]
-    return df, names, kinds_of(df), header
+    df = whole(spark.read).csv(path)
+    kinds = kinds_of(df)
+    if stream:
+        reader = whole(spark.readStream)
+        df = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).csv(path)
+    return df, names, kinds, header

@@ -1 +1,5 @@
-"""Queries over streams of delimited rows: what the language says of one pass over a file, continued over new files."""
+"""The language over streams: one pass over files, continued over files that come later."""
+
+from .continuous import add_stream, start
+
+__all__ = ["add_stream", "start"]

@@ -255,6 +255,9 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for pushed in ("EqualNullSafe(k,5)", "LessThan(v,20)", "GreaterThanOrEqual(w,2)", "Or(GreaterThan(x,3),IsNull(x))", "ReadSchema: struct<k:bigint,v:bigint,w:bigint,x:bigint>"):
         assert pushed in plan, pushed
+    # Aggregates need no order of the rows, so nothing stands between filter and scan.
+    plan = Engine(spark).sql(f"with t as kind select kind, sum(v) + count(w) from '{tmp_path}/p.parquet' where v < 20 group by kind having max(k) > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(v,20)" in plan and "monotonically" not in plan
 
 
 def test_csv(run, cities, tmp_path):
