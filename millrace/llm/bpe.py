@@ -155,23 +155,37 @@ class Coder:
         return out
 
 
+#: The worker's coder: tasks that come after one another in a process share what it has learnt, within its bounds.
+_CODERS: dict[tuple[str, int], Coder] = {}
+
+
+def coder_for(path: str, leaf: int = LEAF) -> Coder:
+    if (path, leaf) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path, leaf] = Coder(path, leaf)
+    return _CODERS[path, leaf]
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id, n_tokens long, ids_text string, decoded string): ids_text holds the ids in decimals, joined by one space; ids() gives them as an array."""
 
     def run(batches):
         import pyarrow as pa
 
+        coder = coder_for(path, leaf)
         gc.disable()  # the tables hold no cycles, and walking them costs more than all else
-        coder = Coder(path, leaf)
-        for batch in batches:
-            n = batch.num_rows
-            for a in range(0, n, 256):
-                part = batch.slice(a, 256)
-                rows = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
-                    ["id", "n_tokens", "ids_text", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part = batch.slice(a, 256)
+                    rows = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
+                        ["id", "n_tokens", "ids_text", "decoded"],
+                    )
+        finally:
+            gc.freeze()  # what stays is not walked later either
+            gc.enable()
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_tokens long, ids_text string, decoded string").withColumnRenamed("id", id_col)
