@@ -22,6 +22,8 @@ from .common import table
 TOKENIZER = "word_bpe_49k.json"
 #: Unsplit runs beyond so many characters are encoded by halves.
 LEAF = 4096
+#: Signs that the tokenizer cuts off a letter or digit before them.
+SIGNS = rb"""!"#$%&'()*+,-./:;=>?@[\]^_`{|}~"""
 #: Characters on either side of a join in the first window.
 WINDOW = 64
 #: Words beyond which a worker forgets what it has learnt, once the rows at hand are done.
@@ -43,12 +45,14 @@ class Coder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.leaf, self.window, self.known = leaf, window, known
+        #: For words, and for what is left of them without case and signs at the end: ids, text decoded from them, number of ids.
         self.words: dict[bytes, tuple[str, str, int]] = {}
-        self.stems: dict[bytes, list[int]] = {}
+        self.stems: dict[bytes, tuple[str, str, int]] = {b"": ("", "", 0)}
         special = self.tok.get_added_tokens_decoder()
         #: Token of each id; without a decoder, decoding joins them by one space.
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.names = {i: t for t, i in vocabulary.items()} if self.tok.decoder is None else {}
+        self.decimals = {i: str(i) for i in vocabulary.values()}
         ends = {i for t, i in vocabulary.items() if t.endswith("</w>")}
         #: Ids that close a unit which no merge crosses.
         self.closing = ends | set(special)
@@ -108,34 +112,42 @@ class Coder:
                 yield w, ids[k:j]
                 k = j
 
+    def _entry(self, ids: list[int]) -> tuple[str, str, int]:
+        shown = " ".join([self.names[i] for i in ids]) if self.names else self.tok.decode(ids, skip_special_tokens=False)
+        return " ".join([self.decimals[i] for i in ids]), shown, len(ids)
+
     def learn(self, words) -> None:
         """Adds words to the table. The tokenizer lowers letters and cuts signs off them, so most words share a stem."""
-        cut = {}
+        stems, known = self.stems, self.words
+        cut, new = [], set()
         for w in words:
             stem, tail = w, b""
-            if b"<" not in w:
+            if b"<" not in w and self.names:
                 stem = w.lower()
-                core = stem.rstrip(b".,;:!?")
-                if core != stem and core[-1:].isalnum():
+                core = stem.rstrip(SIGNS)
+                if len(core) < len(stem) and core[-1:].isalnum():
                     stem, tail = core, stem[len(core) :]
-            cut[w] = (stem, tail)
-        stems = self.stems
-        new = {x for pair in cut.values() for x in pair if x and x not in stems}
-        plain = [w for w in new if w.isalpha() and w.islower() and len(w) <= self.leaf]
-        tokenize = self.tok.model.tokenize
-        for w in plain:
-            stems[w] = [t.id for t in tokenize(w.decode())]
-        texts = [(w, w.decode()) for w in new.difference(plain)]
-        stems.update(self._short([x for x in texts if len(x[1]) <= self.leaf]))
-        for w, t in texts:
+            cut.append((w, stem, tail))
+            new.add(stem)
+            new.add(tail)
+        new.difference_update(stems)
+        tokenize, entry, others = self.tok.model.tokenize, self._entry, []
+        for w in new:
+            if w.isalpha() and w.islower() and len(w) <= self.leaf:
+                stems[w] = entry([t.id for t in tokenize(w.decode())])
+            else:
+                others.append((w, w.decode()))
+        for w, ids in self._short([x for x in others if len(x[1]) <= self.leaf]):
+            stems[w] = entry(ids)
+        for w, t in others:
             if len(t) > self.leaf:
-                stems[w] = self.tree(t)
-        names, known = self.names, self.words
-        stems[b""] = []
-        for w, (stem, tail) in cut.items():
-            ids = stems[stem] + stems[tail] if tail else stems[stem]
-            shown = " ".join([names[i] for i in ids]) if names else self.tok.decode(ids, skip_special_tokens=False)
-            known[w] = (" ".join([str(i) for i in ids]), shown, len(ids))
+                stems[w] = entry(self.tree(t))
+        for w, stem, tail in cut:
+            got = stems[stem]
+            if tail:
+                a, b, n = stems[tail]
+                got = (f"{got[0]} {a}", f"{got[1]} {b}", got[2] + n)
+            known[w] = got
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """For each text the ids in decimals, the text decoded from them, and their number."""
@@ -144,6 +156,7 @@ class Coder:
             self.words.clear()
         if len(self.stems) > self.known:
             self.stems.clear()
+            self.stems[b""] = ("", "", 0)
         known = self.words
         missing = {w for words in split for w in words if w not in known}
         if missing:
