@@ -29,7 +29,7 @@ def coder():
     return Coder(default_path(), leaf=64, window=8)
 
 
-ODD = list("aAbZz019'.,!?-_/<|>&;#@ \t\n\r\x0b\x0c\x1c\x85  éÉßİıſḰ日本👍🏽한‍﻿\x00")
+ODD = list("aAbZz019'.,!?-_/<|>&;#@$%*+=()[]^`{}~:\\\" \t\n\r\x0b\x0c\x1c\x85  éÉßİıſḰ日本👍🏽한‍﻿\x00")
 
 
 @settings(max_examples=400, deadline=None)
