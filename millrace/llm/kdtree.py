@@ -4,7 +4,7 @@ A node that owes k shards is split where the bytes reach k1/k of its own, along
 (extent as a share of the whole table's). The place is a weighted quantile found by narrowing histograms: each pass
 sums bytes in at most `BINS` bins for each open node, so the driver sees a bounded table whatever the input. Ties of a
 coordinate are ordered by the hash of the text and then of the id, so equal texts stay together unless a boundary
-must cut through a heavy group of them.
+must cut through a group of them that is heavy beside a shard.
 
 Defined results: a null text has 16 bytes and checksum 0; null metadata is the least value; repeated rows get slots of
 their own next to each other; an empty table gives no rows; clashing names of other columns do not matter, since only
@@ -25,6 +25,8 @@ OVERHEAD = 16
 BINS = 2048
 #: A boundary is precise enough within this share of a shard.
 TOLERANCE = 0.002
+#: Equal texts of at most this share of a shard stay together; heavier groups are cut where a boundary falls.
+GROUP_SHARE = 0.05
 #: Rows of a slot bucket, about.
 BUCKET_ROWS = 20_000
 
@@ -59,16 +61,16 @@ class _Split:
         f = [*self.fixed, 0, 0]
         return self.node, self.dim, len(self.fixed), f[0], f[1], self.low, self.high, (self.high - self.low) // BINS + 1
 
-    def narrow(self, bins, tolerance):
-        """bins: (least, most, weight) in order. Keeps the one that holds the boundary, or ends."""
+    def narrow(self, bins, tolerance, group):
+        """bins: (least, most, weight) in order. Keeps the one that holds the boundary, or ends. group: weight up to which equal texts are not cut."""
         at = self.below
         for least, most, w in bins:
             if at + w >= self.want:
                 break
             at += w
         over, under = at + w - self.want, self.want - at
-        last = len(self.fixed) == 2
-        if least == most and last or min(over, under) <= tolerance:
+        whole = len(self.fixed) == 2 or len(self.fixed) == 1 and w <= group
+        if least == most and whole or min(over, under) <= tolerance:
             # The whole bin goes to the nearer side.
             self.done, self.bound = True, [*self.fixed, most if over <= under else least - 1]
         elif least == most:
@@ -105,14 +107,14 @@ def kd_shards(df: DataFrame, shards: int = SHARDS, dims: Callable[[DataFrame], d
     names = [f"dim_{k}" for k in coords]
     extents = lambda d: d.groupBy("node").agg(F.sum("size").alias("w"), *[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).collect()  # noqa: E731  a row for each node
     coordinate = F.element_at(F.array(*names), (F.col("dim") + 1).cast("int"))
-    open_nodes, whole, n_next, tolerance, shard_of = {0: shards}, None, 1, 0, {}
+    open_nodes, whole, n_next, tolerance, group, shard_of = {0: shards}, None, 1, 0, 0, {}
     while open_nodes:
         splits = {}
         for r in extents(base):
             k = open_nodes.get(r["node"], 1)
             spans = [r[f"max_{c}"] - r[f"min_{c}"] for c in names]
             if whole is None:
-                whole, tolerance = [max(1, s) for s in spans], TOLERANCE * r["w"] / shards
+                whole, tolerance, group = [max(1, s) for s in spans], TOLERANCE * r["w"] / shards, GROUP_SHARE * r["w"] / shards
             if k > 1:
                 widest = max(range(len(names)), key=lambda i: (spans[i] / whole[i], -i))
                 c = names[widest]
@@ -126,7 +128,7 @@ def kd_shards(df: DataFrame, shards: int = SHARDS, dims: Callable[[DataFrame], d
             for r in got.collect():  # at most BINS rows for each of fewer than `shards` nodes
                 rows.setdefault(r["node"], []).append((r["least"], r["most"], r["w"]))
             for s in live:
-                s.narrow(sorted(rows[s.node]), tolerance)
+                s.narrow(sorted(rows[s.node]), tolerance, group)
         # Nodes with rows were split; one that owes shards but has no rows left them empty.
         if not splits:
             break
