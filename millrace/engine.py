@@ -19,6 +19,10 @@ from .sources.catalog import Catalog
 class Options:
     #: Left-associative arithmetic and the usual levels of not, and, xor, or.
     standard_precedence: bool = False
+    #: Commas between selections are optional, as by the option M of a query.
+    optional_commas: bool = False
+    #: Whether files without an option have a header is told by their first row; else they have one.
+    guess_header: bool = True
     #: Quoted fields may span lines; without it Spark splits large files.
     multiline: bool = True
     #: Rows with fewer or more fields than the first: raise, pad or drop.
@@ -48,7 +52,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, options: Options | None = None):
         self.spark, self.options = spark, options or Options()
-        self.catalog = Catalog(spark, self.options.catalog, self.options.multiline, self.options.ragged)
+        self.catalog = Catalog(spark, self.options.catalog, self.options.multiline, self.options.ragged, self.options.guess_header)
 
     def register(self, name: str, df: DataFrame) -> Engine:
         """Makes a DataFrame, batch or streaming, a table."""
@@ -57,7 +61,7 @@ class Engine:
 
     def query(self, text: str) -> Result:
         """One statement. Statements on saved aliases give the aliases."""
-        tree = parse(text, self.options.standard_precedence)
+        tree = parse(text, self.options.standard_precedence, self.options.optional_commas)
         if isinstance(tree, S.Catalogue):
             return self._catalogue(tree, text)
         plan: Plan = Builder(self.catalog, self.options.password).build(tree)

@@ -98,7 +98,9 @@ class Builder:
             o.force = kind
         grouped = bool(query.group) or any(scope.aggregated(i.expr) for i in query.items) or any(scope.aggregated(k.expr) for k in query.order) or query.having is not None
         files = all(f.raw for t in scope.tables for f in t.fields)
-        if grouped and self._needs_order(query, scope) or not grouped and query.distinct and not query.order and files and meet is None:
+        # Files have an order, which shows where the first rows are kept.
+        cut = query.distinct or query.rows > 0 and bool(query.joins)
+        if grouped and self._needs_order(query, scope) or not grouped and cut and not query.order and files and meet is None:
             for t in scope.tables:
                 t.df = t.df.withColumn(t.ordinal, F.monotonically_increasing_id())
         df = self._joined(query, scope)
@@ -291,6 +293,8 @@ class Builder:
                 columns = [F.col(n) for n in names]
                 # The first of equal rows stays, where rows have an order: those of files do, those of typed tables don't.
                 df = df.groupBy(*names).agg(F.min(F.struct(*ordinals)).alias("_ord")).orderBy("_ord") if ordinals else df.distinct()
+            elif query.rows and (ordinals := [F.col(t.ordinal) for t in compiler.scope.tables if t.ordinal in df.columns]):
+                df = df.orderBy(*ordinals)
             return (df.limit(query.rows) if query.rows else df), columns
         keys = [k.expr for k in query.order]
         df, compiler = self._numbered(df, compiler, *keys)

@@ -87,15 +87,16 @@ def to_html(result: Result) -> str:
     return f"<table data-rows='{n}'>" + row("th", result.names) + "".join(row("td", r) for r in rows) + "</table>"
 
 
-def boxes(result: Result):
-    """Lines of terminal tables of BOX_ROWS rows each, as wide as their widest cells."""
+def boxes(result: Result, striped: bool = False):
+    """Lines of terminal tables of BOX_ROWS rows each, as wide as their widest cells. striped: every other row has a background."""
     held: list[list[str]] = []
 
     def box():
         width = [max(len(x) for x in column) for column in zip(result.names, *held, strict=True)]
         rule = "+" + "+".join("-" * (w + 2) for w in width) + "+"
         line = lambda cells: "|" + "|".join(f" {c.ljust(w)} " for c, w in zip(cells, width, strict=True)) + "|"
-        return [rule, line(result.names), rule, *map(line, held), rule]
+        rows = [f"\x1b[100m{line(r)}\x1b[0m" if striped and i % 2 else line(r) for i, r in enumerate(held)]
+        return [rule, line(result.names), rule, *rows, rule]
 
     for r in rendered(result).toLocalIterator():
         held.append(list(r))

@@ -17,8 +17,8 @@ COLUMNAR = {".parquet": "parquet", ".orc": "orc"}
 class Catalog:
     """Tables by name. Saved aliases are kept in a JSON file if one is named, else for the session."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, multiline: bool = True, ragged: str = "raise"):
-        self.spark, self.path, self.multiline, self.ragged = spark, path, multiline, ragged
+    def __init__(self, spark: SparkSession, path: str | None = None, multiline: bool = True, ragged: str = "raise", guess_header: bool = True):
+        self.spark, self.path, self.multiline, self.ragged, self.guess_header = spark, path, multiline, ragged, guess_header
         self.frames: dict[str, DataFrame] = {}
         #: Streaming tables: rows as text, names, kinds, whether there is a header.
         self.streams: dict[str, tuple] = {}
@@ -29,11 +29,15 @@ class Catalog:
         #: What reading a file's first rows has told, by path and options.
         self.seen: dict[tuple, tuple] = {}
 
+    def _settled(self, options: frozenset[str]) -> frozenset[str]:
+        """Options with the header's when none is given and none is to be guessed."""
+        return options if self.guess_header or options & {"H", "NH", "AH"} else options | {"H"}
+
     def register(self, name: str, df: DataFrame) -> None:
         self.frames[name] = df
 
     def add_stream(self, name: str, folder: str, options: frozenset[str], files_per_batch: int | None) -> None:
-        self.streams[name] = delimited.read(self.spark, self.resolve(folder), options, self.multiline, self.ragged, True, files_per_batch)
+        self.streams[name] = delimited.read(self.spark, self.resolve(folder), self._settled(options), self.multiline, self.ragged, True, files_per_batch)
 
     def add(self, name: str, path: str, options: frozenset[str]) -> None:
         self.aliases[name] = (self.resolve(path), sorted(options))
@@ -86,6 +90,7 @@ class Catalog:
         if form:
             df = self.spark.read.format(form).load(path)
             return Table.of(df, df.columns, typed_kinds(df), False, True, aliases, number, ordered)
+        options = self._settled(options)
         key = (path, options & {"H", "NH", "AH", "S", "P", "T"})
         if key not in self.seen:
             self.seen[key] = delimited.read(self.spark, path, options, self.multiline, self.ragged)

@@ -31,7 +31,7 @@ def start(engine: Engine, text: str, path: str, checkpoint: str, once: bool = Fa
     Rows of a query without groups are appended as Parquet files under `path`. The whole answer of one with groups
     replaces the files there after each batch. once: ends when what is there now has been read.
     """
-    tree = parse(text, engine.options.standard_precedence)
+    tree = parse(text, engine.options.standard_precedence, engine.options.optional_commas)
     df = engine.sql(text)
     writer = df.writeStream.option("checkpointLocation", checkpoint)
     if once:

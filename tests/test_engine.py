@@ -120,6 +120,7 @@ def test_joins(run, cities, country):
     inner = run(f"select j.c2, o.c2 from '{cities}' NH j join '{country}' NH o on j.c3 = o.c1")
     assert sorted(inner) == [("Berlin", "Germany"), ("Herat", "Afghanistan"), ("Kabul", "Afghanistan"), ("Nowhere", "None")]
     left = run(f"select j.c2, o.c2 from '{cities}' NH j left join '{country}' NH o on j.c3 = o.c1 and o.c3 like 'asia'")
+    assert run(f"select j.c1, o.c2 from '{cities}' NH j join '{country}' NH o on j.c3 = o.c1 limit 3") == [("1", "Afghanistan"), ("2", "Afghanistan"), ("3", "Germany")]
     assert sorted(left, key=str) == sorted([("Kabul", "Afghanistan"), ("Herat", "Afghanistan"), ("Berlin", None), ("Foo, Bar", None), ("Nowhere", None)], key=str)
     either = run(f"select j.c1, o.c1 from '{cities}' NH j left join '{country}' NH o on j.c3 = o.c1 or j.c2 = o.c2")
     assert len(either) == 5
@@ -290,9 +291,15 @@ def test_other_sinks(run, cities):
 def test_command_line(capsys, cities, tmp_path, spark):
     from millrace import cli
 
-    assert cli.main(["-c", f"select c2 from '{cities}' {{}} where c1 = 1", "NH"]) == 0
-    assert capsys.readouterr().out == "Kabul\n"
-    (tmp_path / "q.txt").write_text(f"select count(*) from '{cities}' NH")
-    assert cli.main(["-f", str(tmp_path / "q.txt"), "-t"]) == 0
-    assert "| 5    |" in capsys.readouterr().out
-    assert cli.main(["selekt a from b c d"]) == 1
+    out = lambda *words: (cli.main(list(words)), capsys.readouterr().out)
+    assert out("select c2 from {} NH", "where c1 = 1", cities) == (0, "Kabul\n")
+    (tmp_path / "q.txt").write_text(f"select count(*) from '{cities}' NH; select c1 from '{cities}' NH where c4 = 50")
+    assert out(str(tmp_path / "q.txt")) == (0, "5\n2\n")
+    assert out("select count(*) from", cities, "NH", "-t")[1].split("\n")[3] == "| 5    |"
+    assert "Kabul" in out("-f", cities)[1] and "\x1b[" in out("-y", f"from '{cities}' NH")[1]
+    (tmp_path / "config").write_text("guess_file_header = false  # first rows are headers\nneed_comma_separator = false\ntable_or_csv = table\n")
+    assert out("--config", str(tmp_path / "config"), f"select c1 c2 from '{cities}' limit 1")[1].split("\n")[1].split() == ["|", "1", "|", "Kabul", "|"]
+    assert out("-m", f"select c1 c2 as x from '{cities}' NH limit 1")[1] == "col1,x\n1,Kabul\n"
+    assert out("-j", f"select c1 from '{cities}' NH")[1].startswith('{"query"') and out("-w", f"select c1 from '{cities}' NH")[1].startswith("<table")
+    assert out("selekt a from b c d")[0] == out("select {}")[0] == 1
+    assert out("-v")[0] == 0
