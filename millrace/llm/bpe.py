@@ -26,7 +26,7 @@ LEAF = 4096
 SIGNS = rb"""!"#$%&'()*+,-./:;=>?@[\]^_`{|}~"""
 #: Characters on either side of a join in the first window.
 WINDOW = 64
-#: Words beyond which a worker forgets what it has learnt, once the rows at hand are done.
+#: Words beyond which a worker begins a new table of what it has learnt, once the rows at hand are done; it keeps two.
 KNOWN = 150_000
 
 
@@ -47,7 +47,10 @@ class Coder:
         self.leaf, self.window, self.known = leaf, window, known
         #: For words, and for what is left of them without case and signs at the end: ids, text decoded from them, number of ids.
         self.words: dict[bytes, tuple[str, str, int]] = {}
-        self.stems: dict[bytes, tuple[str, str, int]] = {b"": ("", "", 0)}
+        self.stems: dict[bytes, tuple[str, str, int]] = {}
+        #: Full tables grow old: what is asked for again moves on to the new one, the rest goes with the next change.
+        self.old_words: dict[bytes, tuple[str, str, int]] = {}
+        self.old_stems: dict[bytes, tuple[str, str, int]] = {}
         special = self.tok.get_added_tokens_decoder()
         #: Token of each id; without a decoder, decoding joins them by one space.
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
@@ -116,6 +119,14 @@ class Coder:
         shown = " ".join([self.names[i] for i in ids]) if self.names else self.tok.decode(ids, skip_special_tokens=False)
         return " ".join([self.decimals[i] for i in ids]), shown, len(ids)
 
+    @staticmethod
+    def _renewed(wanted: set[bytes], old: dict, new: dict) -> set[bytes]:
+        """Moves to the new table what the old one has."""
+        found = wanted & old.keys()
+        for w in found:
+            new[w] = old[w]
+        return found
+
     def learn(self, words) -> None:
         """Adds words to the table. The tokenizer lowers letters and cuts signs off them, so most words share a stem."""
         stems, known = self.stems, self.words
@@ -131,9 +142,12 @@ class Coder:
             new.add(stem)
             new.add(tail)
         new.difference_update(stems)
+        new -= self._renewed(new, self.old_stems, stems)
         tokenize, entry, others = self.tok.model.tokenize, self._entry, []
         for w in new:
-            if w.isalpha() and w.islower() and len(w) <= self.leaf:
+            if not w:
+                stems[w] = ("", "", 0)
+            elif w.isalpha() and w.islower() and len(w) <= self.leaf:
                 stems[w] = entry([t.id for t in tokenize(w.decode())])
             else:
                 others.append((w, w.decode()))
@@ -153,12 +167,12 @@ class Coder:
         """For each text the ids in decimals, the text decoded from them, and their number."""
         split = [t.encode().split() for t in texts]  # bytes.split() cuts at ASCII white space alone
         if len(self.words) > self.known:
-            self.words.clear()
+            self.words, self.old_words = {}, self.words
         if len(self.stems) > self.known:
-            self.stems.clear()
-            self.stems[b""] = ("", "", 0)
+            self.stems, self.old_stems = {}, self.stems
         known = self.words
         missing = {w for words in split for w in words if w not in known}
+        missing -= self._renewed(missing, self.old_words, known)
         if missing:
             self.learn(missing)
         out = []
