@@ -19,8 +19,12 @@ import json
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import cut, shared_dir, table
 
@@ -29,8 +33,6 @@ DATE = "2024-01-01T00:00:00Z"
 ROLL = 32 << 20
 #: Payload bytes of a shard, about.
 SHARD = 128 << 20
-#: Id ranges whose bytes the driver sees.
-RANGES = 4096
 
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, temporary string, shard int, number int, records long, bytes long, sha256 string, first long, last long"
@@ -95,24 +97,44 @@ def revisits(slim: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def shard_bounds(sizes: DataFrame, target: int) -> list[int]:
-    """Upper ids of all shards but the last, from the exact bytes of at most RANGES ranges of ids; heavy ranges are looked at again."""
-    total, low, high = sizes.agg(F.sum("size"), F.min("page_id"), F.max("page_id")).first()
-    if not total or low is None or total <= target:
-        return []
-    out, held, todo = [], 0, [(low, high)]
-    while todo:
-        a, b = todo.pop(0)
-        width = (b - a) // RANGES + 1
-        got = sizes.where(F.col("page_id").between(a, b)).groupBy(F.expr(f"(page_id - {a}L) div {width}L").alias("k")).agg(F.sum("size").alias("w")).orderBy("k").collect()
-        for i, r in enumerate(got):
-            if r["w"] > target and width > 1:
-                todo = [(a + r["k"] * width, min(b, a + (r["k"] + 1) * width - 1))] + ([(a + got[i + 1]["k"] * width, b)] if i + 1 < len(got) else []) + todo
-                break
-            held += r["w"]
-            if held >= target:
-                out.append(min(b, a + (r["k"] + 1) * width - 1))
-                held = 0
-    return out[:-1] if out and out[-1] >= high else out
+    """Upper ids of all shards but the last: a shard ends where the bytes of the ids up to it pass a multiple of the target.
+
+    Ids are sorted over all executors; each adds up its own part, and only a row for each part and each shard leaves them.
+    """
+    by_id = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("size").alias("size"))
+    ranged = cut(by_id.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("size").alias("size"))
+    before = parts.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each part
+
+    def number(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = 0
+        for batch in batches:
+            if batch.num_rows:
+                size = batch.column(1)
+                upto = pc.add(pc.cumulative_sum(size), pa.scalar(held, pa.int64()))
+                held = upto[-1].as_py()
+                start = pc.add(pc.subtract(upto, size), batch.column(2))
+                yield pa.RecordBatch.from_arrays([pc.divide(start, pa.scalar(target, pa.int64())), batch.column(0)], ["shard", "page_id"])
+
+    # A broadcast join leaves the rows of a part in their order.
+    placed = ranged.join(F.broadcast(before), "part").select("page_id", "size", "before").mapInArrow(number, "shard long, page_id long")
+    ends = [r[1] for r in placed.groupBy("shard").agg(F.max("page_id")).orderBy("shard").collect()]  # a row for each shard
+    return ends[:-1]
+
+
+def shard_of(page_id: Column, bounds: list[int]) -> Column:
+    """The number of the shard that an id falls into; null ids are in the first."""
+    if not bounds:
+        return F.lit(0)
+
+    @F.pandas_udf(IntegerType())
+    def search(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(np.int64), side="left"))
+
+    return search(F.coalesce(page_id, F.lit(bounds[0])))
 
 
 def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, roll: int = ROLL, shard: int = SHARD) -> list[dict]:
@@ -120,8 +142,6 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     spark = df.sparkSession
     slim = cut(digested(df, id_col, html_col))
     bounds = shard_bounds(slim.select("page_id", (F.col("size") + 512).alias("size")), shard)
-    # Ids go to shards by binary search over the bounds, a table of one row for each shard.
-    which = F.expr(f"{_search(bounds, 0, len(bounds))}")
 
     def run(batches):
         import pyarrow as pa
@@ -175,7 +195,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     marks = revisits(slim, min_bytes).select("page_id", "sha1", F.lit(False).alias("is_record"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    rows = marks.unionByName(records).withColumn("shard", which).select("shard", *records.columns)
+    rows = marks.unionByName(records).withColumn("shard", shard_of(F.col("page_id"), bounds)).select("shard", *records.columns)
     sent = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "is_record", "url")
     wrote = sent.mapInArrow(run, MANIFEST).collect()  # a row for each file
     store, hadoop = _store(spark, path)
@@ -189,13 +209,6 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     return manifest
 
 
-def _search(bounds: list[int], a: int, b: int) -> str:
-    if a == b:
-        return f"{a}"
-    m = (a + b) // 2
-    return f"if(page_id is null or page_id <= {bounds[m]}L, {_search(bounds, a, m)}, {_search(bounds, m + 1, b)})"
-
-
 def _store(spark: SparkSession, path: str):
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path
