@@ -119,7 +119,14 @@ def test_bounds(spark):
     assert bounds == sorted(set(bounds))
     edges = [-1, *bounds, 1 << 40]
     weights = [sizes.where(F.col("page_id").between(a + 1, b)).agg(F.sum("size")).first()[0] for a, b in zip(edges, edges[1:], strict=False)]
-    assert max(weights) <= 2 * 20_000 + 5000 and sum(weights) == sizes.agg(F.sum("size")).first()[0]
+    assert max(weights) <= 20_000 + 5000 and sum(weights) == sizes.agg(F.sum("size")).first()[0]
+    # By brute force: a shard ends with the last id that begins below its share.
+    rows, at, ends = sorted((r[0], r[1]) for r in sizes.collect()), 0, {}
+    for i, w in rows:
+        ends[at // 20_000] = i
+        at += w
+    assert bounds == [ends[k] for k in sorted(ends)][:-1] == shard_bounds(sizes.repartition(13), 20_000)
+    assert shard_bounds(sizes, 1 << 40) == [] == shard_bounds(sizes.where("page_id < 0"), 10)
 
 
 def test_query(spark):
