@@ -331,6 +331,7 @@ class Builder:
             inner = scope.variable(g) if isinstance(g, S.Word) else None
             if inner is not None:
                 known.setdefault(inner, known[g])
+        grouping = dict(known)
         order = F.struct(*[F.col(t.ordinal) for t in scope.tables])
 
         def make(column: Column) -> Column:
@@ -363,7 +364,8 @@ class Builder:
                     known[node] = first(compiler.bare(node))
                 return
             if not isinstance(node, (S.Logic, S.Not, S.Compare, S.Between, S.Like, S.InList, S.InQuery)) and not scope.aggregated(node):
-                direct = {x for x in _outside(node, known) if isinstance(x, S.Word) and scope.variable(x) is None and scope.column(x)}
+                # A column that is selected on its own as well, and so is known, still makes this the last row's.
+                direct = {x for x in _outside(node, grouping) if isinstance(x, S.Word) and scope.variable(x) is None and scope.column(x)}
                 if direct:
                     known[node] = last(compiler.value(node))
                     return

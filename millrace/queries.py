@@ -6,6 +6,8 @@ LANGUAGE maps a name to the query's text and its SQL; the SQL is None where it c
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -214,6 +216,32 @@ LANGUAGE: dict[str, tuple[str, str | None]] = {
 }
 
 
+#: Queries over delimited text, written from the tables first: query, how the text is written, SQL. A table's name in braces is its file.
+TEXT: dict[str, tuple[str, dict[str, str], str]] = {
+    "text_header": ("select c_custkey + 0 as k, c_name, c_acctbal * 2 as b from {customer}", {}, "select c_custkey as k, c_name, c_acctbal * 2 as b from customer"),
+    "text_no_header": ("select c1 + 0 as k, c2 as name from {nation} NH where c3 > 2", {"header": "false"}, "select n_nationkey::bigint as k, n_name as name from nation where n_regionkey > 2"),
+    "text_tabs": ("select s_suppkey + 1 as k, s_name from {supplier} T", {"sep": "\t"}, "select s_suppkey + 1 as k, s_name from supplier"),
+    "text_pipes": ("P select s_suppkey + 1 as k, s_name from {supplier} where s_acctbal between 500 and 100", {"sep": "|"}, "select s_suppkey + 1 as k, s_name from supplier where s_acctbal between 100 and 500"),
+    "text_raw_columns": ("select o_totalprice, o_custkey + o_orderpriority as t from {orders}", {}, "select o_totalprice::varchar as o_totalprice, o_custkey::varchar || o_orderpriority as t from orders"),
+    "text_dates": ("select o_orderkey + 0 as k, year(o_orderdate) as y, o_orderdate + '1 day' as d from {orders} where o_orderdate < '6/1/1996'", {}, "select o_orderkey as k, year(o_orderdate) as y, o_orderdate + interval 1 day as d from orders where o_orderdate < timestamp '1996-06-01'"),
+    "text_quoted": ("select event_id + 0 as k, props from {events} where props like '%\"k\": 1%'", {}, "select event_id as k, props from events where props like '%\"k\": 1%'"),
+    "text_join_group": (
+        "select n.n_name, count(*) as c, round(sum(s.s_acctbal), 2) as t from {supplier} s join {nation} n on s.s_nationkey = n.n_nationkey group by n.n_name",
+        {},
+        "select n_name, count(*)::double as c, round(sum(s_acctbal), 2) as t from supplier join nation on s_nationkey = n_nationkey group by 1",
+    ),
+    "text_first_and_last": (
+        "select c_mktsegment, c_name, substr(c_name, 9, 9) as last, count(*) as n from {customer} group by c_mktsegment",
+        {},
+        "select c_mktsegment, arg_min(c_name, c_custkey) as c_name, substring(arg_max(c_name, c_custkey), 10, 9) as last, count(*)::double as n from customer group by 1",
+    ),
+    "text_limit_in_file_order": ("select n_name, r.r_name from {nation} n join {region} r on n.n_regionkey = r.r_regionkey limit 7", {}, "select n_name, r_name from nation join region on n_regionkey = r_regionkey order by n_nationkey limit 7"),
+    "text_distinct_in_file_order": ("select distinct top 3 c_mktsegment from {customer}", {}, "select c_mktsegment from customer group by 1 order by min(c_custkey) limit 3"),
+    "text_row_numbers": ("select inc() as i, n_name from {nation} where n_regionkey <> 2", {}, "select row_number() over (order by n_nationkey)::double as i, n_name from nation where n_regionkey <> 2"),
+    "text_in_subquery": ("select c_name from {customer} where c_custkey not in (select o_custkey from {orders} where o_totalprice > 100000)", {}, "select c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)"),
+}
+
+
 def _since_sql(u: str) -> str:
     """Duration text in SQL."""
     part = lambda width, of, sign: f"case when ({u}) % {of} // {width} > 0 then (({u}) % {of} // {width})::varchar || '{sign}' else '' end"
@@ -240,6 +268,31 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine_for(spark, sf_dir, text).sql(text)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see; a local one only where the session names none, as in local tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/text-{uuid.uuid4().hex}"
+
+
+def as_text(spark: SparkSession, sf_dir: str, text: str, form: dict[str, str]) -> str:
+    """The query with its tables written as delimited text, a file each in the order of their first column."""
+    at = _scratch(spark)
+    for name in sorted(set(re.findall(r"\{(\w+)\}", text))):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        writer = df.coalesce(1).sortWithinPartitions(df.columns[0]).write.option("escape", '"')
+        writer.options(**{"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", **form}).csv(f"{at}/{name}.csv")
+        text = text.replace("{" + name + "}", f"'{at}/{name}.csv'")
+    return text
+
+
+def _run_text(text: str, form: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Engine(spark).sql(as_text(spark, sf_dir, text, form))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(text) for name, (text, _) in LANGUAGE.items()}
+QUERIES |= {name: _run_text(text, form) for name, (text, form, _) in TEXT.items()}
 ORACLE: dict[str, str] = {name: _sql(sql) for name, (_, sql) in LANGUAGE.items() if sql is not None}
+ORACLE |= {name: sql for name, (_, _, sql) in TEXT.items()}
 FLAGSHIP = "agg_group"

@@ -176,6 +176,7 @@ def test_empty_tables(run, spark):
 def test_groups(run, cities):
     assert run(f"select c3, count(*), sum(c4), c2 from '{cities}' NH group by c3") == [(None, 1.0, 7, "Nowhere"), ("AFG", 2.0, 150, "Kabul"), ("DEU", 1.0, 300, "Berlin"), ("ZZZ", 1.0, None, "Foo, Bar")]
     assert run(f"select c3, substr(c2, 0, 2) from '{cities}' NH group by c3 having count(*) > 1") == [("AFG", "He")]
+    assert run(f"select c3, c2, substr(c2, 0, 2), c2 from '{cities}' NH group by c3 having count(*) > 1") == [("AFG", "Kabul", "He", "Kabul")]
     assert run(f"with c2 as name select c3, name + '!' from '{cities}' NH group by c3 having count(*) > 1") == [("AFG", "Kabul!")]
     assert run(f"select avg(c4), stdev(c4), stdevp(c1) from '{cities}' NH where c3 = DEU") == [(300.0, None, None)]
     assert run(f"select count(distinct c3), sum(c4) / 2 from '{cities}' NH") == [(3.0, 228)]
