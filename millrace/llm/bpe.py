@@ -17,7 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, release_memory, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Unsplit runs beyond so many characters are encoded by halves.
@@ -27,7 +27,7 @@ SIGNS = rb"""!"#$%&'()*+,-./:;=>?@[\]^_`{|}~"""
 #: Characters on either side of a join in the first window.
 WINDOW = 64
 #: Words beyond which a worker begins a new table of what it has learnt, once the rows at hand are done; it keeps two.
-KNOWN = 150_000
+KNOWN = 100_000
 
 
 def default_path() -> str:
@@ -60,6 +60,9 @@ class Coder:
         #: Ids that close a unit which no merge crosses.
         self.closing = ends | set(special)
 
+    def forget(self) -> None:
+        self.words, self.stems, self.old_words, self.old_stems = {}, {}, {}, {}
+
     def _plain(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         return [(e.ids, e.offsets) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
@@ -182,7 +185,7 @@ class Coder:
         return out
 
 
-#: The worker's coder: tasks that come after one another in a process share what it has learnt, within its bounds.
+#: The worker's coder. Its vocabulary stays for the worker's next tasks; what it has learnt goes with each.
 _CODERS: dict[tuple[str, int], Coder] = {}
 
 
@@ -211,9 +214,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                         ["id", "n_tokens", "ids_text", "decoded"],
                     )
         finally:
-            gc.freeze()  # what stays is not walked later either
+            coder.forget()
             gc.enable()
+            release_memory()
 
+    modest_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_tokens long, ids_text string, decoded string").withColumnRenamed("id", id_col)
 

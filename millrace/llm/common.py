@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 #: Links left at which the contraction ends in one task: a fixed bound, whatever the input.
 LAST_LINKS = 10_000
 
+#: Rows of a batch for Python workers, in place of Spark's own number.
+BATCH_ROWS = 1000
+SPARK_BATCH_ROWS = "10000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Fewer rows in the batches for Python workers, unless the session sets a number: texts are long, and both sides hold whole batches."""
+    if spark.conf.get(_BATCH_SETTING) == SPARK_BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
+def release_memory() -> None:
+    """Gives what a worker has freed back to the system, which the worker keeps otherwise while it waits for its next task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df computed once, and marked for broadcast only if it has at most so many rows; they must be of a bounded width."""
     df = cut(df)

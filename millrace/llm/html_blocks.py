@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul br".split()
@@ -245,6 +245,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 part = batch.slice(a, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(h) for h in part.column(2).to_pylist()], pa.string())], ["id", "url", "text"])
 
+    modest_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return source.mapInArrow(run, "id long, url string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
 

@@ -23,7 +23,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
@@ -282,6 +282,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["id", "base", "added", "incomplete", *(["redacted"] if redact else [])],
                 )
 
+    modest_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id long, base {SPANS}, added {SPANS}, incomplete boolean" + ", redacted string" * redact).withColumnRenamed("id", id_col)
 
@@ -311,6 +312,7 @@ def redacted_rows(df: DataFrame, text_col: str = "text", chars_col: str = "n_cha
                     cols[k] = pa.array([changed.get(i, n) for i, n in enumerate(cols[k].to_pylist())], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
+    modest_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

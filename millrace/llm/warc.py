@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import cut, shared_dir, table
+from .common import cut, modest_batches, shared_dir, table
 
 DATE = "2024-01-01T00:00:00Z"
 #: Compressed bytes at which a file is closed.
@@ -140,6 +140,7 @@ def shard_of(page_id: Column, bounds: list[int]) -> Column:
 def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, roll: int = ROLL, shard: int = SHARD) -> list[dict]:
     """Writes the archive and returns its manifest, a row for each file."""
     spark = df.sparkSession
+    modest_batches(spark)
     slim = cut(digested(df, id_col, html_col))
     bounds = shard_bounds(slim.select("page_id", (F.col("size") + 512).alias("size")), shard)
 
