@@ -6,7 +6,7 @@ groups is made up exactly: within each component all pairs are compared in block
 
 The number of passes follows the table so that a pair at the threshold is found with probability 0.98. Equal vectors
 are one class from the start. Vectors that are null, zero, or hold null or non-finite parts link with nothing; only
-vectors of equal length are compared; repeated ids are rows of their own with the links of their vector.
+vectors of equal length are compared; components are read as 32-bit floats and compared in double precision; repeated ids are rows of their own with the links of their vector.
 """
 
 from __future__ import annotations
