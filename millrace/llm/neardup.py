@@ -1,11 +1,13 @@
 """Embedding near-dedup by sorted projection passes (operator 4).
 
 Each pass signs every vector with 64 random hyperplanes and orders the vectors by those bits; each is compared, in
-double precision, with the next `window` ones. Links of all passes are united. What the windows leave out in dense
-groups is made up exactly: within each component all pairs are compared in blocks, of which only counts leave a task.
+double precision, with the next `window` ones. Where more vectors than a window holds share the first bits of a pass,
+all pairs of them are compared in blocks. Links of all passes are united. What is left out in dense groups is made up
+exactly: within each component all pairs are compared in blocks, of which only counts leave a task.
 
-The number of passes follows the table so that a pair at the threshold is found with probability 0.98. Equal vectors
-are one class from the start. Vectors that are null, zero, or hold null or non-finite parts link with nothing; only
+A pair at the threshold shares those first bits in some pass with probability 0.98 or more, by its angle alone: the
+share found does not rest on how the other vectors lie. The number of passes follows the table's size and, as a matter
+of cost, how crowded the first bits are in a sample. Equal vectors are one class from the start. Vectors that are null, zero, or hold null or non-finite parts link with nothing; only
 vectors of equal length are compared; components are read as 32-bit floats and compared in double precision; repeated ids are rows of their own with the links of their vector.
 """
 
@@ -17,13 +19,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import checked_broadcast, components, cut, table
 
 THRESHOLD = 0.9
 WINDOW = 96
 RECALL = 0.98
 SEED = 11
 BLOCK = 512
+#: Rows that the cost of more passes is judged by, and the comparisons that a row costs in a further pass by itself.
+SAMPLE = 4096
+PASS_COST = 2000
 
 
 def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -33,6 +38,30 @@ def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD, recal
     return max(6, min(64, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - min(met, 0.999))))))
 
 
+def prefix_bits(passes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The most first bits that a pair at the threshold shares in one of so many passes with the given probability."""
+    same = 1 - math.acos(threshold) / math.pi
+    return min(63, int(math.log(1 - (1 - recall) ** (1 / passes)) / math.log(same) + 1e-9))
+
+
+def measured_passes(classes: DataFrame, n: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> int:
+    """passes_for, or more of them where a sample shares its first bits so often that longer prefixes cost less."""
+    least = passes_for(n, window, threshold, recall)
+    rows = [r["v"] for r in classes.orderBy(F.xxhash64("node", F.lit(seed))).limit(SAMPLE).select("v").collect()] if n else []
+    if len(rows) < 2:
+        return least
+    together = np.zeros(64)
+    for dim in {len(r) for r in rows}:
+        x = _unit(np.array([r for r in rows if len(r) == dim], dtype=np.float64))
+        for p in range(4):
+            key = np.packbits(x @ np.random.default_rng([seed + 1, dim, p]).standard_normal((dim, 64)) >= 0, axis=1).view(">u8").astype(np.uint64).ravel()
+            for bits in range(64):
+                size = np.unique(key >> np.uint64(64 - bits) if bits else key * np.uint64(0), return_counts=True)[1].astype(float)
+                together[bits] += (size * (size - 1)).sum() / 4
+    near = together / (len(rows) * (len(rows) - 1)) * n
+    return min(range(least, 65), key=lambda k: k * (PASS_COST + max(0.0, near[prefix_bits(k, threshold, recall)] - window)))
+
+
 def _matrix(column) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -69,8 +98,8 @@ def _forest(ident, pairs):
     return x[x != y], y[x != y]
 
 
-def window_links(classes: DataFrame, passes: int, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """(a, b) from all passes. classes: (node long, dim int, v array<double>)."""
+def _signed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+    """(pass, key, node, v): the bits of each vector in each pass, as a number."""
 
     def sign(batches):
         import pyarrow as pa
@@ -90,8 +119,55 @@ def window_links(classes: DataFrame, passes: int, window: int = WINDOW, threshol
                         key = bits.view(">u8").astype(np.uint64).ravel() ^ np.uint64(1 << 63)  # order of unsigned numbers as signed ones
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p * 65536 + int(dim), np.int64)), pa.array(key.view(np.int64)), mine.column(0), mine.column(2)], ["pass", "key", "node", "v"])
 
-    keyed = classes.mapInArrow(sign, "pass long, key long, node long, v array<float>")
-    dealt = keyed.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
+    return classes.mapInArrow(sign, "pass long, key long, node long, v array<float>")
+
+
+def dense_links(classes: DataFrame, passes: int, bits: int, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """(a, b) among vectors that share their first bits in a pass with more than a window holds, all compared in pairs of blocks."""
+    keyed = _signed(classes, passes, seed).withColumn("prefix", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    crowded = keyed.groupBy("pass", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window + 1).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n")
+    rows = keyed.join(checked_broadcast(crowded), ["pass", "prefix"])
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["pass", "prefix", "x", "y"]
+    rows = rows.select("pass", "prefix", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "v")
+    dealt = rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys)
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def links(group):
+            x, y = group.column(2)[0].as_py(), group.column(3)[0].as_py()
+            mine, node, v = group.column(4).to_numpy(), group.column(5).to_numpy(), _unit(_matrix(group.column(6).combine_chunks()))
+            left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+            hit = v[left] @ v[right].T >= threshold
+            if x == y:
+                hit = np.triu(hit, 1)
+            p, q = np.nonzero(hit)
+            return _forest(node, [(left[p], right[q])]) if len(p) else ((), ())
+
+        def out(group):
+            a, b = links(group)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            piece = pa.Table.from_batches([batch])
+            if held is not None:
+                piece = pa.concat_tables([held, piece])
+            k = np.stack([piece.column(i).to_numpy() for i in range(4)])
+            starts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
+            for s, e in zip(starts, starts[1:], strict=False):
+                yield out(piece.slice(s, e - s))
+            held = piece.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def window_links(classes: DataFrame, passes: int, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
+    """(a, b) from all passes. classes: (node long, dim int, v array<double>)."""
+    dealt = _signed(classes, passes, seed).repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
 
     def compare(batches):
         """Links inside the partition, and its first and last rows for the seams."""
@@ -205,7 +281,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v")).withColumn("class", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0).cast("float")).cast("string"))), 256))))
     classes = cut(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")).withColumn("node", F.xxhash64("class")))
     n = classes.count()
-    links = window_links(classes.select("node", F.size("v").alias("dim"), "v"), passes_for(n, window, threshold, recall), window, threshold)
+    passes = measured_passes(classes, n, window, threshold, recall)
+    vectors = classes.select("node", F.size("v").alias("dim"), "v")
+    links = window_links(vectors, passes, window, threshold).unionByName(dense_links(vectors, passes, prefix_bits(passes, threshold, recall), window, threshold))
     found = cut(components(links))
     members = classes.join(found, "node").select("component", "node", "v", "weight")
     counts = link_counts(members, threshold)

@@ -83,6 +83,31 @@ def test_dense_groups_are_exact(spark):
     assert {x["n_links"] for x in got.values()} == {999}
 
 
+def test_hot_topic_below_the_threshold(spark):
+    """A third of the rows share a topic at cosine 0.8, below the threshold; pairs at 0.905 among them still meet."""
+    r = np.random.default_rng(8)
+    centre = np.linalg.qr(r.standard_normal((64, 1)))[0][:, 0]
+
+    def member(noise):
+        noise = noise - (noise @ centre) * centre
+        return np.sqrt(0.8) * centre + np.sqrt(0.2) * noise / np.linalg.norm(noise)
+
+    rows = []
+    for _ in range(200):
+        a = r.standard_normal(64)
+        a -= (a @ centre) * centre
+        a /= np.linalg.norm(a)
+        b = r.standard_normal(64)
+        b -= (b @ centre) * centre + (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = (0.905 - 0.8) / 0.2
+        rows += [member(a), member(c * a + np.sqrt(1 - c * c) * b)]
+    rows += [member(r.standard_normal(64)) for _ in range(1600)] + list(r.standard_normal((4000, 64)))
+    rows = [(i, [float(x) for x in np.float32(v)], 0) for i, v in enumerate(rows)]
+    got = {x["vec_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, SCHEMA), window=16).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(200)) >= 0.95 * 200
+
+
 def test_bad_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [inf, 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0, 0.0], 0), (10, None, 0), (11, [0.0, -0.0], 0), (12, [3e38, 0.0], None), (None, [1.0, 0.01], 0)]
