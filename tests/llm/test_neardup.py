@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from millrace.llm.neardup import link_counts, near_duplicates, op4_projection_passes, passes_for
+from millrace.llm.neardup import link_counts, near_duplicates, op4_projection_passes, passes_for, prefix_bits
 from pyspark.sql import functions as F
 
 from .helpers import union_find
@@ -108,6 +108,12 @@ def test_hot_topic_below_the_threshold(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(200)) >= 0.95 * 200
 
 
+@pytest.mark.parametrize("passes", [6, 15, 64])
+def test_first_bits_reach_the_recall(passes):
+    same, bits = 1 - math.acos(0.9) / math.pi, prefix_bits(passes)
+    assert 1 - (1 - same**bits) ** passes >= 0.98 > 1 - (1 - same ** (bits + 1)) ** passes
+
+
 def test_bad_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [nan, 1.0], 0), (7, [inf, 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0, 0.0], 0), (10, None, 0), (11, [0.0, -0.0], 0), (12, [3e38, 0.0], None), (None, [1.0, 0.01], 0)]
