@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages from documents to token ids, each over all that the one before it kept.
 
-Quality rules reject what fails the base rules or is depleted of lines of its own; SimHash near-dedup keeps the
+Quality rules reject what fails the base rules or is depleted of lines of its own, and take lines above the limit of
+their host out of the rest; SimHash near-dedup keeps the
 smallest doc_id of each group; secret scans replace what they find by a mark; mixing repeats documents to the target
 weights; BPE encoding gives each remaining text its ids. All stages but the last return the columns of documents.
 """

@@ -7,7 +7,7 @@ that one bearer of each passage stays whole. A document is depleted if less than
 its normalised lines remain.
 
 Defined results: a null text is the empty text; a null host is a host of its own; empty tables give empty results;
-copies of a row get the same verdict.
+copies of a row get the same verdict; a line goes at each place where it stands, with its line break.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, table, word_array
+from .common import cut, table, word_array
 
 #: Distinct texts of a host beyond which a line is boilerplate.
 MAX_TEXTS = 20
@@ -24,6 +24,8 @@ MIN_SHARE = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+#: Texts and lines to remove beyond which they are joined by a shuffle.
+MOST_BROADCAST = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -34,7 +36,7 @@ def line_structs(text: F.Column) -> F.Column:
 
 
 def depletion(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
-    """(host, text_hash, removed, line_chars): characters of boilerplate lines, and of all, for each text of a host that has any."""
+    """(host, text_hash, removed, line_chars, gone): characters of boilerplate lines, and of all, and the hashes of those lines, for each text of a host that has any."""
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
     text = F.col(text_col)
     rows = df.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(id_col).alias("id"), F.sort_array(line_structs(text)).alias("sorted"))
@@ -52,7 +54,17 @@ def depletion(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", t
         .select("host", "h", F.col("first.text_hash").alias("first_hash"))
     )
     hit = once.join(often, ["host", "h"]).where("text_hash <> first_hash")
-    return hit.groupBy("host", "text_hash").agg(F.sum("chars").alias("removed"), F.max("line_chars").alias("line_chars"))
+    return hit.groupBy("host", "text_hash").agg(F.sum("chars").alias("removed"), F.max("line_chars").alias("line_chars"), F.collect_set("h").alias("gone"))
+
+
+def normal_line(line: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
+def without_lines(text: F.Column, gone: F.Column) -> F.Column:
+    """The text without the lines whose hashes are in gone; null takes none. Other lines, and what has no word, stay as they are."""
+    stays = F.filter(F.split(text, "\n"), lambda x: (normal_line(x) == "") | ~F.array_contains(gone, F.xxhash64(normal_line(x))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(stays, "\n"))
 
 
 def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -100,7 +112,7 @@ def line_quality(df: DataFrame, host_col: str = "source", id_col: str = "doc_id"
         F.aggregate(line_structs(text), F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("line_chars"),
         text.alias("text"),
     )
-    out = base_columns(rows, "text").join(gone.drop("line_chars"), ["host", "text_hash"], "left")
+    out = base_columns(rows, "text").join(gone.drop("line_chars", "gone"), ["host", "text_hash"], "left")
     removed = F.coalesce("removed", F.lit(0).cast("long"))
     depleted = F.col("line_chars") - removed < F.lit(min_share) * F.col("line_chars")
     return out.select(
@@ -108,15 +120,25 @@ def line_quality(df: DataFrame, host_col: str = "source", id_col: str = "doc_id"
     )
 
 
-def kept_rows(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of df that line_quality keeps, with its columns. Texts are shuffled only if the depleted ones are too many to broadcast."""
-    gone = depletion(df, host_col, id_col, text_col, max_texts)
-    depleted = checked_broadcast(gone.where(F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars")).select("host", "text_hash"))
+def kept_rows(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, min_share: float = MIN_SHARE, chars_col: str = "n_chars") -> DataFrame:
+    """The rows of df that line_quality keeps, with its columns; their texts are without the lines it removes, and the number of characters goes with them."""
+    gone = cut(depletion(df, host_col, id_col, text_col, max_texts).withColumn("depleted", F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars")))
+    # Depleted texts go whole, so that their lines need not be known.
+    gone = gone.select("host", "text_hash", "depleted", F.when(~F.col("depleted"), F.col("gone")).alias("gone"))
+    # Texts are shuffled only if the lines to remove are too many to broadcast.
+    held = gone.agg(F.count(F.lit(1)) + F.sum(F.coalesce(F.size("gone"), F.lit(0)))).first()[0]
+    gone = F.broadcast(gone) if (held or 0) <= MOST_BROADCAST else gone
     text = F.col(text_col)
     rows = df.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     # Behind a generator, so that the optimiser does not push the filter, and with it a copy of all that it rests on, below each step.
     judged = base_columns(rows, "text").select("row", "host", "text_hash", F.explode(F.array("base_failed")).alias("failed"))
-    return judged.where(~F.col("failed")).join(depleted, ["host", "text_hash"], "left_anti").select("row.*")
+    kept = judged.where(~F.col("failed")).join(gone, ["host", "text_hash"], "left").where(~F.coalesce("depleted", F.lit(False)))
+    left = without_lines(F.col("row")[text_col], F.col("gone"))
+    columns = {c: F.col("row")[c] for c in df.columns}
+    columns[text_col] = left
+    if chars_col in columns:
+        columns[chars_col] = F.when(F.col("gone").isNull(), columns[chars_col]).otherwise(F.length(left).cast(df.schema[chars_col].dataType))
+    return kept.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,19 @@ def test_depletion_by_brute_force(spark):
     assert {r["doc_id"] for r in kept_rows(docs(spark, rows), max_texts=20).collect()} == {k for k, v in got.items() if v}
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_kept_texts_lose_the_lines_above_the_limit(spark, monkeypatch, most):
+    monkeypatch.setattr("millrace.llm.lines.MOST_BROADCAST", most)
+    line = "Read more of   this on OUR pages"
+    rows = [(i, f"{line}\n{prose(i, 60)}\n\n  {line.lower()} \nİ end {i}", "en", "hot", 7) for i in range(30)]
+    rows += [(100 + i, f"{line}\n{prose(200 + i, 60)}", "en", "other", 7) for i in range(5)]
+    got = kept_rows(docs(spark, rows + rows[3:4]))
+    seen = sorted(tuple(r) for r in got.collect())
+    cleaned = lambda r: "\n".join(x for x in r[1].split("\n") if "our pages" not in x.lower())
+    want = [r if r[0] == 0 or r[3] == "other" else (r[0], cleaned(r), *r[2:4], len(cleaned(r))) for r in rows + rows[3:4]]
+    assert seen == sorted(want)
+
+
 def test_copies_count_once(spark):
     rows = [(i, f"a line that every copy of it has too\n{prose(3, 4)}", "en", "h", 0) for i in range(60)]
     assert all(r["removed_chars"] == 0 for r in line_quality(docs(spark, rows)).collect())
