@@ -3,7 +3,8 @@
 Each text is scanned as it is; then every URL escape, Unicode escape, base64 run and compressed stream in it is
 unwrapped into a further layer, which is scanned and unwrapped in turn, until nothing new appears. A layer that has
 been seen over the same region is not taken again, so cycles end. Each character of a layer knows the region of the
-original text that it came from, and findings are reported there.
+original text that it came from, and findings are reported there. Base64 may be wrapped over lines. Bytes that are no
+UTF-8 count as Latin-1 signs, stretches of UTF-16 as text, and all members of a compressed stream are read.
 
 Defined results: a null text is the empty text; one row out for each row in, repeats included; ties of a span in
 several layers are reported once. A compressed stream that expands beyond `max_layer` bytes is left as it is and
@@ -34,7 +35,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: A run over line breaks, also escaped ones, and indentation.
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+#: The shortest that a finding or a further layer can be, as it stands in bytes.
+_PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
+_WIDE = re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){14,}|(?:[\t\n\r\x20-\x7e]\x00){14,}")
 _MIXED = re.compile(r"(?=.*[A-Z])(?=.*[a-z])", re.S)
 
 
@@ -91,19 +97,28 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
 
 
 def _url(m: re.Match):
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    try:
-        chars = raw.decode()
-    except UnicodeDecodeError:
-        return None
     got, at = [], 0
-    for c in chars:
-        n = len(c.encode())
-        got.append((c, 3 * at, 3 * (at + n)))
+    for c in _chars(bytes.fromhex(m[0].replace("%", ""))):
+        n = _width(c)
+        got.append((_latin(c), 3 * at, 3 * (at + n)))
         at += n
     return got
 
 
+def _chars(raw: bytes) -> str:
+    """The text of raw, with a surrogate for each byte that is not UTF-8."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _width(c: str) -> int:
+    return 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+
+
+def _latin(text: str) -> str:
+    """The text with each such surrogate as its Latin-1 sign."""
+    return re.sub("[\udc80-\udcff]", lambda m: chr(ord(m[0]) - 0xDC00), text)
+
+
 def _unicode(m: re.Match):
     hexes = next((g for g in m.groups()[:5] if g), None)
     n = int(hexes, 16) if hexes else int(m[6])
@@ -119,91 +134,129 @@ def _pair(m: re.Match):
     return [(chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00), 0, 12)]
 
 
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """The stream that raw holds, if it is compressed; OverflowError beyond `most` bytes."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as r:
-                out = r.read(most + 1)
-            if len(out) > most:
-                raise OverflowError
-            return out
-        else:
-            return None
-        out = d.decompress(raw, most + 1)
-        if len(out) > most:
+def _opened(raw: bytes):
+    """A decompressor for the stream that raw begins with, if it is compressed."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27)
+    return None
+
+
+def _inflate(raw: bytes, most: int) -> tuple[bytes, int] | None:
+    """What the stream that raw begins with holds, and all that follow it, and their length in raw, if it is compressed; OverflowError beyond `most` bytes in all."""
+    out, whole = [], len(raw)
+    while (d := _opened(raw)) is not None:
+        left = most - sum(map(len, out))
+        try:
+            if raw[:4] == b"\x28\xb5\x2f\xfd":
+                with d.stream_reader(raw, read_across_frames=True) as r:
+                    got, rest = r.read(left + 1), b""
+            else:
+                got, rest = d.decompress(raw, left + 1), None
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            break
+        except Exception as e:
+            if type(e).__name__ == "ZstdError":
+                break
+            raise
+        if len(got) > left:
             raise OverflowError
-        return out if d.eof else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    except Exception as e:
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-
-
-def _text(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
+        if rest is None:
+            if not d.eof:
+                break
+            rest = d.unused_data
+        out.append(got)
+        # Members may be padded with zeros.
+        raw = rest.lstrip(b"\x00")
+    return (b"".join(out), whole - len(raw)) if out else None
+
+
+def _texts(raw: bytes) -> list[tuple[str, list[tuple[int, int]]]]:
+    """(text, [start and end in raw of each character]) of what raw holds: as UTF-8, other bytes as Latin-1, and its stretches of UTF-16. Empty if nothing can be found in it."""
+    out = []
+    if _PLAIN.search(raw):
+        chars, at, places = _chars(raw), 0, []
+        for c in chars:
+            n = _width(c)
+            places.append((at, at + n))
+            at += n
+        out.append((_latin(chars), places))
+    for m in _WIDE.finditer(raw):
+        out.append((m[0].replace(b"\x00", b"").decode(), [(i, i + 2) for i in range(m.start(), m.end(), 2)]))
+    return out
 
 
 def _unbase64(run: str) -> bytes | None:
     core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
+    core = core[: len(core) - (len(core) % 4 == 1)]  # a sign more is not of the run
     try:
         return base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _runs(text: str):
+    """(run, place of each of its characters, where it may begin): base64 runs that go over line breaks, without the breaks, then those of a line."""
+    if "\n" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            run, places, starts, at = [], [], [], m.start()
+            for x in [*_BREAK.finditer(text, m.start(), m.end()), None]:
+                end = x.start() if x else m.end()
+                starts.append(len(places))
+                run.append(text[at:end])
+                places.extend(range(at, end))
+                at = x.end() if x else end
+            yield "".join(run), places, starts
+    for m in _BASE64.finditer(text):
+        yield m[0], range(m.start(), m.end()), [0]
+
+
 def _packed(layer: Layer, most: int, flags: set) -> list[Layer]:
     """A layer for each base64 run that holds text or a compressed stream of text."""
     made = []
-    for m in _BASE64.finditer(layer.text):
-        run = m[0]
+    covered: dict[int, int] = {}  # ends of decoded runs by their place and where it stands among fours
+    for run, places, begins in _runs(layer.text):
         if not _MIXED.match(run):
             continue
         # A run may follow a path or a word joined to it by one of the alphabet's own signs.
-        for at in [0, *(i + 1 for i, c in enumerate(run[:-16]) if c in "/_-+")]:
-            head = _unbase64(run[at : at + 16])
-            if head is None or not (head[:2] in (b"\x1f\x8b", b"BZ", b"\xfd7", b"\x28\xb5") or head[0] == 0x78 or not any(b < 9 or 13 < b < 32 or b == 127 for b in head)):
-                continue
+        for at in sorted({*begins, *(i + 1 for i, c in enumerate(run[:-16]) if c in "/_-+")}):
+            if places[at] in covered and covered[places[at]] >= places[-1]:
+                break  # decoded with the lines before it
             raw = _unbase64(run[at:])
             if raw is None or len(raw) < 8:
                 continue
-            chain, whole, seen = (*layer.chain, "base64"), False, set()
+            chain, whole, seen, last = (*layer.chain, "base64"), False, set(), len(run)
             try:
-                while (out := _inflate(raw, most)) is not None and (digest := hashlib.sha1(out).digest()) not in seen:
+                while (got := _inflate(raw, most)) is not None and (digest := hashlib.sha1(got[0]).digest()) not in seen:
                     seen.add(digest)
-                    raw, whole, chain = out, True, (*chain, "compressed")
+                    if not whole and (used := at + (got[1] + 2) // 3 * 4) < len(run):
+                        last = used  # a word on the next line is not of the stream
+                    raw, whole, chain = got[0], True, (*chain, "compressed")
             except OverflowError:
                 flags.add("incomplete")
                 continue
-            text = _text(raw)
-            if text is None:
+            texts = _texts(raw)
+            if not texts:
                 continue
-            a, starts, ends, n = m.start() + at, [], [], 0
-            for c in text:
-                k = len(c.encode())
-                lo, hi = layer.region(*((a, m.end()) if whole else (a + n // 3 * 4, min(m.end(), a + (n + k + 2) // 3 * 4))))
-                starts.append(lo)
-                ends.append(hi)
-                n += k
-            made.append(Layer(text, starts, ends, chain))
+            for text, spans in texts:
+                if whole:
+                    lo, hi = layer.region(places[at], places[last - 1] + 1)
+                    starts, ends = [lo] * len(text), [hi] * len(text)
+                else:
+                    got = [layer.region(places[at + a // 3 * 4], places[min(len(run), at + (b + 2) // 3 * 4) - 1] + 1) for a, b in spans]
+                    starts, ends = [x[0] for x in got], [x[1] for x in got]
+                made.append(Layer(text, starts, ends, chain))
+            for k in range(at, len(run), 4):
+                covered[places[k]] = places[-1]
             break
     return made
 

@@ -1,7 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import re
 import zlib
 from urllib.parse import quote
@@ -71,6 +73,28 @@ def test_char_by_char_regions_are_exact():
     assert kind == "assign" and text[a:b] == WRAPS["unicode"](SECRET[: SECRET.rindex('"')])
 
 
+def wrapped(raw, width, end="\n"):
+    return end.join(b64(raw)[i : i + width] for i in range(0, len(b64(raw)), width))
+
+
+PROSE = "Words that stand before and behind the secret, so that it lies over many lines. "
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\n    "])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_wrapped_base64_is_one_layer(width, pack, end):
+    for shift in range(0, 80, 7):
+        coded = wrapped(pack(f"{PROSE}{'x' * shift} {SECRET} {PROSE}".encode()), width, end)
+        text = f"Before it:\n{coded}\nAnd after it."
+        at = text.index(coded)
+        inside = [s for s in find(text)[1] if s[0] == "assign"]
+        assert len(inside) == 1 and at <= inside[0][1] < inside[0][2] <= at + len(coded)
+        if pack is bytes:
+            plain = re.sub(r"\s|\\n", "", text[inside[0][1] : inside[0][2]])
+            assert SECRET[: SECRET.rindex('"')].encode() in base64.b64decode(plain)
+
+
 def test_cycles_and_bombs_end():
     for text in ("%25" * 3000, "%2525252525" * 50, "&#38;" * 500, "\\u005cu005c" * 100):
         find(text)
