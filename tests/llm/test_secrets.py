@@ -95,6 +95,27 @@ def test_wrapped_base64_is_one_layer(width, pack, end):
             assert SECRET[: SECRET.rindex('"')].encode() in base64.b64decode(plain)
 
 
+BAD = {
+    "nul": lambda t: b64(b"see \x00 here " + t.encode() + b" end"),
+    "escape": lambda t: b64(b"\x1b[31m red " + t.encode()),
+    "latin-1": lambda t: b64("caf\xe9 and ".encode("latin-1") + t.encode() + b" end"),
+    "utf-16": lambda t: b64(f"run this: {t} now".encode("utf-16")),
+    "utf-16 big": lambda t: b64(f"run this: {t} now".encode("utf-16-be")),
+    "gzip with nul": lambda t: b64(gzip.compress(b"\x00\xff" + t.encode())),
+    "second member": lambda t: b64(gzip.compress(b"first of two") + gzip.compress(t.encode())),
+    "url": lambda t: "".join(f"%{c:02X}" for c in b"caf\xe9 " + t.encode()),
+}
+
+
+@pytest.mark.parametrize("wrap", BAD)
+def test_one_bad_byte_hides_nothing(wrap):
+    coded = BAD[wrap](SECRET)
+    text = f"Before it, na\xefve words. {coded} And after it."
+    at = text.index(coded)
+    inside = [s for s in find(text)[1] if s[0] == "assign"]
+    assert inside and all(at <= a < b <= at + len(coded) for _, a, b in inside)
+
+
 def test_cycles_and_bombs_end():
     for text in ("%25" * 3000, "%2525252525" * 50, "&#38;" * 500, "\\u005cu005c" * 100):
         find(text)
