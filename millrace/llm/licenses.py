@@ -2,8 +2,10 @@
 
 Lines that speak of a licence are compared with templates by the cosine of their sparse TF-IDF vectors: terms of
 lines and templates meet in a join, and products are summed. Weights come from the template collection; a term that
-no template has weighs 1. A text gets the template of its best line at `MIN_COSINE` or more. A licence file gives its
-licence to its directory, and what has none of its own takes that of the nearest ancestor directory, found by joins on
+no template has weighs 1. A text gets the template of its best line at `MIN_COSINE` or more; before that, the licence
+whose full text it is, or a comment block of it is, at `FILE_COSINE` or more; after that, the template of its best run
+of two to four lines, so that headers may be wrapped. A licence file, by its name, as the full text of a licence or as a
+short text that states one, gives its licence to its directory, and what has none of its own takes that of the nearest ancestor directory, found by joins on
 paths: directories are resolved first, each once.
 
 Defined results: null texts have no licence, null paths no directory; equal texts get equal licences; of several best
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +26,14 @@ from pyspark.sql import functions as F
 from .common import table, word_array
 
 MIN_COSINE = 0.6
-#: A document of at most so many words that states a licence is a licence file.
+#: A document of at most so many words that states a licence is a licence file; so are those by name and by full text.
 FILE_WORDS = 60
+#: For whole texts and comment blocks against full licences: common words alone bring any two long texts near each other.
+FILE_COSINE = 0.9
+#: Lines that a wrapped statement may take.
+HEADER_LINES = 4
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]es?|copying|copyright)([._-][^/]*)?$"
+COMMENTS = r"(?:(?:^|\n)[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*)+"
 CUE = r"licen[cs]e|copyright|spdx|hereby granted|redistribution and use|public domain"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -53,6 +62,9 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+#: Full texts, by the licence that names their file.
+FULL_TEXTS = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
 
 def template_weights(templates=TEMPLATES) -> list[tuple[int, str, str, float, float]]:
     """(template, licence, term, idf, weight of the unit vector): a bounded table, as many rows as the templates have terms."""
@@ -71,38 +83,54 @@ def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return F.broadcast(spark.sql(f"select * from values {shown} as t({names})"))
 
 
-def stated(df: DataFrame, text_col: str = "text", templates=TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(text_hash, license, cosine) of the texts that state one."""
-    spark = df.sparkSession
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    lines = (
-        df.select(low.alias("low"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
-        .where(F.col("low").rlike(CUE))
-        .select("text_hash", F.explode(F.filter(F.split("low", "\n"), lambda x: x.rlike(CUE))).alias("line"))
-        .select("text_hash", F.xxhash64("line").alias("line_hash"), F.regexp_extract_all("line", F.lit(TERM), 0).alias("terms"))
-        .distinct()
-    )
+def _best(units: DataFrame, templates, min_cosine: float) -> DataFrame:
+    """(text_hash, license, cosine) by the best unit of each text. units: (text_hash, unit), any rows repeated count once."""
+    spark = units.sparkSession
+    keys = ["text_hash", "line_hash"]
+    lines = units.select("text_hash", F.xxhash64("unit").alias("line_hash"), F.regexp_extract_all("unit", F.lit(TERM), 0).alias("terms")).distinct()
     rows = template_weights(templates)
     own = _values(spark, sorted({(t, idf) for _, _, t, idf, _ in rows}), "term, idf")
     weights = _values(spark, [(i, name, t, w) for i, name, t, _, w in rows], "template, license, term, weight")
-    terms = lines.select("text_hash", "line_hash", F.explode("terms").alias("term")).groupBy("text_hash", "line_hash", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = lines.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = terms.join(own, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    norms = weighed.groupBy("text_hash", "line_hash").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.where("idf is not null").join(weights, "term").groupBy("text_hash", "line_hash", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["text_hash", "line_hash"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= min_cosine)
+    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.where("idf is not null").join(weights, "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= min_cosine)
     best = scored.groupBy("text_hash").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m"))
     return best.select("text_hash", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine"))
 
 
+def stated(df: DataFrame, text_col: str = "text", templates=TEMPLATES, min_cosine: float = MIN_COSINE, full=FULL_TEXTS, file_cosine: float = FILE_COSINE) -> DataFrame:
+    """(text_hash, license, cosine, whole) of the texts that state one; whole: the text is that licence."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    texts = df.select(low.alias("low"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")).where(F.col("low").rlike(CUE))
+    cued = lambda units: F.explode(F.filter(units, lambda x: x.rlike(CUE))).alias("unit")
+    parts = F.split("low", "\n")
+    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(HEADER_LINES)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, k), " "))))
+    found = [
+        _best(texts.select("text_hash", F.col("low").alias("unit")), full, file_cosine),
+        _best(texts.select("text_hash", cued(F.regexp_extract_all("low", F.lit(COMMENTS), 0))), full, file_cosine),
+        _best(texts.select("text_hash", cued(parts)), templates, min_cosine),
+        _best(texts.select("text_hash", cued(runs)), templates, min_cosine),
+    ]
+    all_found = None
+    for rank, x in enumerate(found):
+        x = x.withColumn("rank", F.lit(rank))
+        all_found = x if all_found is None else all_found.unionByName(x)
+    first = all_found.groupBy("text_hash").agg(F.min(F.struct("rank", "license", "cosine")).alias("m"))
+    return first.select("text_hash", "m.license", "m.cosine", (F.col("m.rank") == 0).alias("whole"))
+
+
 def _dir(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", ""))
 
 
 def license_scan(df: DataFrame, path: Column, is_file: Column, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(id, path, license, origin 'own', 'directory' or null, cosine, from_dir) for each row. is_file: whether a row that states a licence does so for its directory."""
+    """(id, path, license, origin 'own', 'directory' or null, cosine, from_dir) for each row. is_file: whether a row that states a licence does so for its directory; one that is a licence's full text, or has the name of a licence file, does in any case."""
     found = stated(df, text_col, templates, min_cosine)
     rows = df.select(F.col(id_col).alias("id"), path.alias("path"), is_file.alias("is_file"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     rows = rows.withColumn("dir", _dir(F.col("path"))).join(found, "text_hash", "left")
+    rows = rows.withColumn("is_file", F.coalesce("is_file", F.lit(False)) | F.coalesce("whole", F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)))
     given = rows.where("is_file and license is not null and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "id", "license")).alias("g")).select(F.col("dir").alias("above"), F.col("g.license").alias("given"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))

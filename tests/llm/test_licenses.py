@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import pytest
-from millrace.llm.licenses import CUE, MIN_COSINE, OP8_SQL, TEMPLATES, TERM, license_scan, op8_license_cosine, stated
+from millrace.llm.licenses import CUE, FULL_TEXTS, MIN_COSINE, OP8_SQL, TEMPLATES, TERM, license_scan, op8_license_cosine, stated
 from pyspark.sql import functions as F
 
 from ..compare import connection, same
@@ -70,6 +70,21 @@ def test_nearest_ancestor(spark):
     }
 
 
+def test_full_texts_wrapped_headers_and_names(spark):
+    full = dict(FULL_TEXTS)
+    held = lambda t: t.replace("<year> <copyright holders>", "2021 Ada Example and others")
+    wrapped = "// Use of this source code is\n// governed by a BSD-style license\n// that can be found in the\n// LICENSE file.\nint main() {}"
+    data = [(i, f"{n}/any.txt", t) for i, (n, t) in enumerate(FULL_TEXTS)] + [(100 + i, f"{n}/b/x.txt", "plain") for i, (n, _) in enumerate(FULL_TEXTS)]
+    data += [(200, "one/a.txt", " ".join(held(full["MIT"]).split())), (201, "one/b/x.txt", "plain")]
+    data += [(202, "two/x.c", wrapped), (203, "three/x.c", "".join(f"# {x}\n" for x in held(full["MIT"]).split("\n")) + prose(5, 400)), (204, "three/y.c", "plain")]
+    data += [(205, "four/COPYING", f"Released under the MIT License.\n{prose(6, 300)}"), (206, "four/x", "plain"), (207, "five/x.txt", f"The license of the work and its copyright. {prose(7, 900)}")]
+    got = license_scan(spark.createDataFrame(data, "doc_id long, path string, text string"), F.col("path"), F.lit(False)).collect()
+    seen = {r["doc_id"]: (r["license"], r["origin"]) for r in got}
+    for i, (n, _) in enumerate(FULL_TEXTS):
+        assert seen[i] == (n, "own") and seen[100 + i] == (n, "directory")
+    assert [seen[i] for i in range(200, 208)] == [("MIT", "own"), ("MIT", "directory"), ("BSD-3-Clause", "own"), ("MIT", "own"), (None, None), ("MIT", "own"), ("MIT", "directory"), (None, None)]
+
+
 def test_ties(spark):
     data = [(2, "a/L2", "Released under the MIT License."), (1, "a/L1", "SPDX-License-Identifier: BSD-3-Clause"), (3, "a/x", "plain")]
     got = license_scan(spark.createDataFrame(data, "doc_id long, path string, text string"), F.col("path"), F.lit(True)).collect()
