@@ -26,6 +26,8 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements whose content is never text, by where it ends.
 RAW = frozenset("script style noscript template svg math textarea iframe object noembed noframes xmp title select canvas audio video".split())
+#: Those of them that hold no tags, and so end at their own end tag or with the page.
+TAGLESS = frozenset("script style textarea title xmp iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that close what they find open of the same kind.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -137,7 +139,11 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if not m[0].endswith("/>"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+                if end or tag in TAGLESS:
+                    at = end.end() if end else n
+                else:  # unclosed: up to the end tag of what encloses it
+                    outer = (re.compile(rf"</{re.escape(x[0])}(?=[\s/>])", re.I).search(page, at) for x in reversed(stack))
+                    at = next((x.start() for x in outer if x), n)
             continue
         if tag in SELF_CLOSING:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SELF_CLOSING[tag] or stack[i][0] in SCOPES), -1)

@@ -89,3 +89,9 @@ def test_query(spark):
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert got.where((F.length("text") != F.col("n_chars")) | (F.col("n_chars") == 0)).count() == 0
     assert got.where(F.col("text").rlike("<(p|b|br|a)>|var t=")).count() == 0
+
+
+@pytest.mark.parametrize("tag", "select svg object video audio canvas math template noscript".split())
+def test_unclosed_elements_end_with_what_encloses_them(tag):
+    page = f"<body><article><div><{tag}>gone</div><p>The text after it stays where it is.</p></article></body>"
+    assert [b.text for b in blocks(page)] == ["The text after it stays where it is."]
