@@ -1,13 +1,14 @@
 """Quality rules by cross-document line frequency (operator 2), in DataFrame functions alone.
 
 Lines are normalised (lower case, runs of white space as one space, trimmed) and hashed. For each host a line's
-frequency is the number of distinct texts that hold it, so exact copies count once. A line above `max_texts` is
-boilerplate: it is removed from every text but the first that has it (smallest doc_id, and copies of that text), so
-that one bearer of each passage stays whole. A document is depleted if less than `min_share` of the characters of
-its normalised lines remain.
-
-Defined results: a null text is the empty text; a null host is a host of its own; empty tables give empty results;
-copies of a row get the same verdict; a line goes at each place where it stands, with its line break.
+frequency is the number of distinct documents (ids) that hold it. A line above `max_documents` is boilerplate and is
+removed from all of them. A document is depleted if less than `min_share` of the characters of its normalised lines
+remain. Two departures are there to be asked for: `copies_once` counts distinct texts, where a later stage is to judge
+exact copies, and `spare_first` leaves the lines in the first bearer (smallest id, and copies of its text).
+
+Defined results: a null text is the empty text; a null host is a host of its own, and null ids are one document; empty
+tables give empty results; copies of a row get the same verdict; a line goes at each place where it stands, with its
+line break.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_array
+from .common import table, word_array, written
 
-#: Distinct texts of a host beyond which a line is boilerplate.
-MAX_TEXTS = 20
+#: Documents of a host beyond which a line is boilerplate.
+MAX_DOCUMENTS = 20
 #: Share of the characters that must remain.
 MIN_SHARE = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Texts and lines to remove beyond which they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,26 +37,57 @@ def line_structs(text: F.Column) -> F.Column:
     return F.transform(F.filter(norm, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).cast("long").alias("chars")))
 
 
-def depletion(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
-    """(host, text_hash, removed, line_chars, gone): characters of boilerplate lines, and of all, and the hashes of those lines, for each text of a host that has any."""
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
+def _host(host_col: str) -> F.Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
+
+
+def _text_hash(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _distinct_lines(text: F.Column) -> F.Column:
+    """Each line's hash once, with the characters of all places where it stands."""
+
+    def runs(got):
+        n = F.size(got)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(got, i)["h"] != F.get(got, i - 1)["h"]))
+        # An array of one, so that what is in it is computed once.
+        return F.flatten(
+            F.transform(F.array(first), lambda f: F.transform(f, lambda s, k: F.struct(F.get(got, s)["h"].alias("h"), (F.get(got, s)["chars"] * (F.coalesce(F.get(f, k + 1), n) - s)).alias("chars"))))
+        )
+
+    return F.flatten(F.transform(F.filter(F.array(F.sort_array(line_structs(text))), lambda g: F.size(g) > 0), runs))
+
+
+def lined(df: DataFrame, host_col: str, id_col: str, text_col: str, *more: F.Column) -> DataFrame:
+    """(host, text_hash, id, lines, line_chars) of each row, and what more is asked for, written once: texts are read and cut into lines in this pass alone."""
     text = F.col(text_col)
-    rows = df.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(id_col).alias("id"), F.sort_array(line_structs(text)).alias("sorted"))
-    got, n = F.col("sorted"), F.size("sorted")
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(got, i)["h"] != F.get(got, i - 1)["h"]))
-    rows = rows.where(n > 0).withColumn("first", first)
-    rows = rows.withColumn("line_chars", F.aggregate("sorted", F.lit(0).cast("long"), lambda a, x: a + x["chars"]))
-    runs = F.transform("first", lambda s, k: F.struct(F.get(got, s)["h"].alias("h"), (F.get(got, s)["chars"] * (F.coalesce(F.get("first", k + 1), n) - s)).alias("chars")))
-    rows = rows.select("host", "text_hash", "id", "line_chars", F.explode(runs).alias("line")).select("host", "text_hash", "id", "line_chars", "line.h", "line.chars")
-    once = rows.groupBy("host", "h", "text_hash").agg(F.min("id").alias("id"), F.max("chars").alias("chars"), F.max("line_chars").alias("line_chars"))
-    often = (
-        once.groupBy("host", "h")
-        .agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("id", "text_hash")).alias("first"))
-        .where(F.col("texts") > max_texts)
-        .select("host", "h", F.col("first.text_hash").alias("first_hash"))
-    )
-    hit = once.join(often, ["host", "h"]).where("text_hash <> first_hash")
-    return hit.groupBy("host", "text_hash").agg(F.sum("chars").alias("removed"), F.max("line_chars").alias("line_chars"), F.collect_set("h").alias("gone"))
+    rows = df.select(_host(host_col).alias("host"), _text_hash(text).alias("text_hash"), F.col(id_col).alias("id"), _distinct_lines(text).alias("lines"), *more)
+    return written(rows.withColumn("line_chars", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])))
+
+
+def frequent(rows: DataFrame, max_documents: int, copies_once: bool, spare_first: bool) -> DataFrame:
+    """(host, h[, first_hash]) of the lines above the limit. rows: as from lined()."""
+    lines = rows.select("host", "text_hash", "id", F.explode("lines.h").alias("h"))
+    by = "text_hash" if copies_once else "id"
+    if not spare_first:
+        often = lines.select("host", "h", by).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        once = lines.groupBy("host", "h", by).agg(F.min(F.struct("id", "text_hash")).alias("m"))
+        often = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("m")["text_hash"].alias("first_hash"))
+    return often.where(F.col("n") > max_documents).drop("n")
+
+
+def depletion(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, copies_once: bool = False, spare_first: bool = False) -> DataFrame:
+    """(host, text_hash, removed, line_chars, gone): characters of boilerplate lines, and of all, and the hashes of those lines, for each text of a host that has any. rows: as from lined()."""
+    often = written(frequent(rows, max_documents, copies_once, spare_first))
+    often = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
+    lines = rows.select("host", "text_hash", "line_chars", F.explode("lines").alias("line")).select("host", "text_hash", "line_chars", "line.h", "line.chars")
+    hit = lines.join(often, ["host", "h"])
+    hit = hit.where("text_hash <> first_hash") if spare_first else hit
+    # Copies of a text bring the same lines.
+    once = hit.groupBy("host", "text_hash", "h").agg(F.max("chars").alias("chars"), F.max("line_chars").alias("line_chars"))
+    return once.groupBy("host", "text_hash").agg(F.sum("chars").alias("removed"), F.max("line_chars").alias("line_chars"), F.collect_set("h").alias("gone"))
 
 
 def normal_line(line: F.Column) -> F.Column:
@@ -101,35 +134,31 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
-def line_quality(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, min_share: float = MIN_SHARE) -> DataFrame:
+def line_quality(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, copies_once: bool = False, spare_first: bool = False) -> DataFrame:
     """(id, the base columns, line_chars, removed_chars, kept) for each row."""
-    gone = depletion(df, host_col, id_col, text_col, max_texts)
-    text = F.col(text_col)
-    rows = df.select(
-        F.col(id_col).alias(id_col),
-        F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
-        F.aggregate(line_structs(text), F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("line_chars"),
-        text.alias("text"),
-    )
-    out = base_columns(rows, "text").join(gone.drop("line_chars", "gone"), ["host", "text_hash"], "left")
+    slim = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
+    based = base_columns(slim.withColumn("whole", F.col("text")), "text")
+    rows = lined(based, "source", "id", "whole", *map(F.col, BASE))
+    gone = depletion(rows, max_documents, copies_once, spare_first)
+    out = rows.join(gone.select("host", "text_hash", "removed"), ["host", "text_hash"], "left")
     removed = F.coalesce("removed", F.lit(0).cast("long"))
     depleted = F.col("line_chars") - removed < F.lit(min_share) * F.col("line_chars")
-    return out.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", removed.alias("removed_chars"), (~F.col("base_failed") & ~depleted).alias("kept")
-    )
+    return out.select(F.col("id").alias(id_col), *BASE, "line_chars", removed.alias("removed_chars"), (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def kept_rows(df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, min_share: float = MIN_SHARE, chars_col: str = "n_chars") -> DataFrame:
+def kept_rows(
+    df: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, chars_col: str = "n_chars", copies_once: bool = False, spare_first: bool = False
+) -> DataFrame:
     """The rows of df that line_quality keeps, with its columns; their texts are without the lines it removes, and the number of characters goes with them."""
-    gone = cut(depletion(df, host_col, id_col, text_col, max_texts).withColumn("depleted", F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars")))
+    gone = depletion(lined(df, host_col, id_col, text_col), max_documents, copies_once, spare_first)
+    gone = gone.withColumn("depleted", F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars"))
     # Depleted texts go whole, so that their lines need not be known.
-    gone = gone.select("host", "text_hash", "depleted", F.when(~F.col("depleted"), F.col("gone")).alias("gone"))
+    gone = written(gone.select("host", "text_hash", "depleted", F.when(~F.col("depleted"), F.col("gone")).alias("gone")))
     # Texts are shuffled only if the lines to remove are too many to broadcast.
     held = gone.agg(F.count(F.lit(1)) + F.sum(F.coalesce(F.size("gone"), F.lit(0)))).first()[0]
     gone = F.broadcast(gone) if (held or 0) <= MOST_BROADCAST else gone
     text = F.col(text_col)
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    rows = df.select(F.struct("*").alias("row"), _host(host_col).alias("host"), _text_hash(text).alias("text_hash"), text.alias("text"))
     # Behind a generator, so that the optimiser does not push the filter, and with it a copy of all that it rests on, below each step.
     judged = base_columns(rows, "text").select("row", "host", "text_hash", F.explode(F.array("base_failed")).alias("failed"))
     kept = judged.where(~F.col("failed")).join(gone, ["host", "text_hash"], "left").where(~F.coalesce("depleted", F.lit(False)))
@@ -150,9 +179,8 @@ with d as (select doc_id, coalesce('=' || source, '') as host, coalesce(text, ''
 lines as (select doc_id, host, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) as line
           from (select doc_id, host, t, unnest(string_split(t, chr(10))) as x from d)),
 own as (select doc_id, sum(length(line)) as line_chars from lines where line <> '' group by 1),
-texts as (select host, line, t, min(doc_id) as id from lines where line <> '' group by all),
-often as (select host, line, arg_min(t, id) as first from texts group by 1, 2 having count(*) > {MAX_TEXTS}),
-gone as (select l.doc_id, sum(length(l.line)) as removed from lines l join often o on l.host = o.host and l.line = o.line where l.t <> o.first group by 1),
+often as (select host, line from (select distinct host, line, doc_id from lines where line <> '') group by 1, 2 having count(*) > {MAX_DOCUMENTS}),
+gone as (select l.doc_id, sum(length(l.line)) as removed from lines l join often o on l.host = o.host and l.line = o.line group by 1),
 words as (select doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
 win as (select doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from words)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),

@@ -3,20 +3,18 @@ import hashlib
 import corpus_pipeline
 import pytest
 from millrace.llm.bpe import default_path
-from millrace.llm.lines import OP2_SQL
+from millrace.llm.lines import MAX_DOCUMENTS
 from millrace.llm.mixing import mix
 from millrace.llm.secrets import find, redacted
 
-from ..compare import connection
 from .helpers import DOCS, clashing, docs, hard_rows, prose
-from .test_lines import boilerplate
+from .test_lines import boilerplate, verdicts
 from .test_simhash import brute_components
 
 
-def brute(spark, rows, con):
+def brute(spark, rows):
     """The rows of the pipeline for rows of documents: each stage by its brute force, the drawing by the mixing operator's own table."""
-    kept = {r[0] for r in con.execute(f"select doc_id from ({OP2_SQL}) where kept").fetchall()}
-    rows = [r for r in rows if r[0] in kept]
+    rows = [r for r, kept in zip(rows, verdicts(rows, MAX_DOCUMENTS, copies_once=True, spare_first=True), strict=True) if kept]
     first = {c for _, _, c in brute_components([r[:2] for r in rows])}
     rows = [r for r in rows if r[0] in first]
     rows = [(r[0], redacted(r[1], [*find(r[1])[0], *find(r[1])[1]]), *r[2:]) for r in rows]
@@ -37,7 +35,7 @@ def brute(spark, rows, con):
 def test_pipeline_by_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    want = brute(spark, rows, connection(sf))
+    want = brute(spark, rows)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want
 
 
