@@ -17,7 +17,7 @@ from millrace.llm.common import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.kept_rows(docs)
+    return lines.kept_rows(docs, copies_once=True, spare_first=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
