@@ -4,22 +4,27 @@ Each text is scanned as it is; then every URL escape, Unicode escape, base64 run
 unwrapped into a further layer, which is scanned and unwrapped in turn, until nothing new appears. A layer that has
 been seen over the same region is not taken again, so cycles end. Each character of a layer knows the region of the
 original text that it came from, and findings are reported there. Base64 may be wrapped over lines. Bytes that are no
-UTF-8 count as Latin-1 signs, stretches of UTF-16 as text, and all members of a compressed stream are read.
+UTF-8 part what stands before them from what follows, and all members of a compressed stream are read.
+
+A base64 run is decoded at each of the four places where its first sign may stand, once each, so that signs joined
+before it hide nothing; what can be read of it, and each compressed stream in it, is a layer. Streams are read and
+scanned in pieces that overlap, whatever they expand to.
 
 Defined results: a null text is the empty text; one row out for each row in, repeats included; ties of a span in
-several layers are reported once. A compressed stream that expands beyond `max_layer` bytes is left as it is and
-`incomplete` says so: the bound guards the worker's memory against streams made to exhaust it.
+several layers are reported once. `incomplete` says that a stream expands beyond one piece and holds, over the border
+of two pieces, a coded run longer than their overlap: its layers are read from each piece by itself.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,21 +32,26 @@ from pyspark.sql import functions as F
 from .common import modest_batches, table
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 64 << 20
+#: Bytes of an expanded stream that are scanned at once, and those that the next piece begins with again.
+PIECE = 8 << 20
+OVERLAP = 1 << 20
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A run over line breaks, also escaped ones, and indentation.
+#: Base64 of 14 bytes, the shortest that a finding or a further layer can be, has 19 signs.
+LEAST = 19
+_SIGNS = "[A-Za-z0-9+/_-]"
+#: Line breaks within a run, also escaped ones, and indentation.
 _BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
-_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
-#: The shortest that a finding or a further layer can be, as it stands in bytes.
+#: Each start is tried once, since no run begins behind another sign and none gives back what it has taken.
+_BASE64 = re.compile(rf"(?<!{_SIGNS}){_SIGNS}{{4,}}+(?:(?:{_BREAK.pattern}){_SIGNS}++)*+={{0,2}}")
 _PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
 _WIDE = re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){14,}|(?:[\t\n\r\x20-\x7e]\x00){14,}")
-_MIXED = re.compile(r"(?=.*[A-Z])(?=.*[a-z])", re.S)
+#: How compressed streams begin (fixed values): gzip, zlib, bzip2, xz, zstd.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -57,27 +67,22 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A decoded text; starts and ends give, for each character, its region in the original (None: the original itself)."""
-
-    __slots__ = ("chain", "ends", "starts", "text")
+    """A decoded text; region() gives the place in the original of a stretch of it."""
 
-    def __init__(self, text, starts=None, ends=None, chain=()):
-        self.text, self.starts, self.ends, self.chain = text, starts, ends, chain
+    __slots__ = ("chain", "region", "text")
 
-    def region(self, a: int, b: int) -> tuple[int, int]:
-        if self.starts is None or a == b:
-            return (a, b) if self.starts is None else (0, 0)
-        return self.starts[a], self.ends[b - 1]
+    def __init__(self, text, region=None, chain=()):
+        self.text, self.region, self.chain = text, region or (lambda a, b: (a, b)), chain
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
     """The layer with every match that decodes replaced; decode gives (characters, [their start and end in the match])."""
-    out, starts, ends, at, changed = [], [], [], 0, False
+    out, starts, ends, at, changed = [], array("i"), array("i"), 0, False
 
     def copy(a, b):
         out.append(layer.text[a:b])
-        starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
-        ends.extend(range(a + 1, b + 1) if layer.starts is None else layer.ends[a:b])
+        starts.extend(range(a, b))
+        ends.extend(range(a + 1, b + 1))
 
     for m in pattern.finditer(layer.text):
         got = decode(m)
@@ -86,14 +91,13 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
         copy(at, m.start())
         changed, at = True, m.end()
         for c, a, b in got:
-            lo, hi = layer.region(m.start() + a, m.start() + b)
             out.append(c)
-            starts.append(lo)
-            ends.append(hi)
+            starts.append(m.start() + a)
+            ends.append(m.start() + b)
     if not changed:
         return None
     copy(at, len(layer.text))
-    return Layer("".join(out), starts, ends, (*layer.chain, name))
+    return Layer("".join(out), lambda a, b: layer.region(starts[a], ends[b - 1]), (*layer.chain, name))
 
 
 def _url(m: re.Match):
@@ -136,9 +140,9 @@ def _pair(m: re.Match):
 
 def _opened(raw: bytes):
     """A decompressor for the stream that raw begins with, if it is compressed."""
-    if raw[:2] == b"\x1f\x8b":
+    if raw[:3] == b"\x1f\x8b\x08":
         return zlib.decompressobj(31)
-    if len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
         return zlib.decompressobj()
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
@@ -147,131 +151,172 @@ def _opened(raw: bytes):
     if raw[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return zstandard.ZstdDecompressor(max_window_size=1 << 27)
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
     return None
 
 
-def _inflate(raw: bytes, most: int) -> tuple[bytes, int] | None:
-    """What the stream that raw begins with holds, and all that follow it, and their length in raw, if it is compressed; OverflowError beyond `most` bytes in all."""
-    out, whole = [], len(raw)
-    while (d := _opened(raw)) is not None:
-        left = most - sum(map(len, out))
+def _members(parts, piece: int, used: list[int]):
+    """The bytes of the stream that the parts begin with, and of all that follow it, in parts of at most `piece` or so; used[0]: how much they took."""
+    import zstandard
+
+    parts, held, at, before = iter(parts), b"", 0, 0  # at: what is read of held; before: bytes ahead of it
+
+    def have(n):
+        nonlocal held, at, before
+        while len(held) - at < n and (x := next(parts, None)) is not None:
+            held, before, at = held[at:] + x, before + at, 0
+        return len(held) > at
+
+    while have(16) and (d := _opened(held[at : at + 16])) is not None:
+        limited = "Zstd" not in type(d).__name__
+        step = 1 << 16 if limited else 1 << 10  # what it expands to has no other bound
+        ended = False
         try:
-            if raw[:4] == b"\x28\xb5\x2f\xfd":
-                with d.stream_reader(raw, read_across_frames=True) as r:
-                    got, rest = r.read(left + 1), b""
-            else:
-                got, rest = d.decompress(raw, left + 1), None
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            while not ended:
+                if limited and getattr(d, "unconsumed_tail", b""):
+                    data = d.unconsumed_tail
+                elif limited and not getattr(d, "needs_input", True):
+                    data = b""
+                elif have(1):
+                    data = held[at : at + step]
+                    at += len(data)
+                else:
+                    break  # cut off: what it holds counts still
+                got = d.decompress(data, piece) if limited else d.decompress(data)
+                if got:
+                    yield got
+                ended = d.eof
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError):
             break
-        except Exception as e:
-            if type(e).__name__ == "ZstdError":
-                break
-            raise
-        if len(got) > left:
-            raise OverflowError
-        if rest is None:
-            if not d.eof:
-                break
-            rest = d.unused_data
-        out.append(got)
+        if not ended:
+            break
+        at -= len(d.unused_data)
+        used[0] = before + at
         # Members may be padded with zeros.
-        raw = rest.lstrip(b"\x00")
-    return (b"".join(out), whole - len(raw)) if out else None
-
-
-def _texts(raw: bytes) -> list[tuple[str, list[tuple[int, int]]]]:
-    """(text, [start and end in raw of each character]) of what raw holds: as UTF-8, other bytes as Latin-1, and its stretches of UTF-16. Empty if nothing can be found in it."""
-    out = []
-    if _PLAIN.search(raw):
-        chars, at, places = _chars(raw), 0, []
-        for c in chars:
-            n = _width(c)
-            places.append((at, at + n))
-            at += n
-        out.append((_latin(chars), places))
+        while have(1) and held[at] == 0:
+            at += 1
+
+
+def _pieces(parts, piece: int, overlap: int):
+    """The parts joined to pieces, each with the end of the one before it; whether it is the last."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n >= piece:
+            whole = b"".join(held)
+            yield whole, False
+            held, n = [whole[-overlap:]], min(n, overlap)
+    if n:
+        yield b"".join(held), True
+
+
+def _texts(raw: bytes):
+    """(text, where it begins, bytes of each sign) of each stretch of raw in which something may be found: ASCII, or such signs in UTF-16."""
+    for m in _PLAIN.finditer(raw):
+        yield m[0].decode(), m.start(), 1
     for m in _WIDE.finditer(raw):
-        out.append((m[0].replace(b"\x00", b"").decode(), [(i, i + 2) for i in range(m.start(), m.end(), 2)]))
-    return out
+        yield m[0].replace(b"\x00", b"").decode(), m.start(), 2
 
 
-def _unbase64(run: str) -> bytes | None:
-    core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    core = core[: len(core) - (len(core) % 4 == 1)]  # a sign more is not of the run
-    try:
-        return base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _streams(raw: bytes):
+    """Where compressed streams may begin in raw, in order."""
+    return (m.start() for m in _MAGIC.finditer(raw))
 
 
-def _runs(text: str):
-    """(run, place of each of its characters, where it may begin): base64 runs that go over line breaks, without the breaks, then those of a line."""
-    if "\n" in text or "\\n" in text:
-        for m in _WRAPPED.finditer(text):
-            run, places, starts, at = [], [], [], m.start()
-            for x in [*_BREAK.finditer(text, m.start(), m.end()), None]:
-                end = x.start() if x else m.end()
-                starts.append(len(places))
-                run.append(text[at:end])
-                places.extend(range(at, end))
-                at = x.end() if x else end
-            yield "".join(run), places, starts
-    for m in _BASE64.finditer(text):
-        yield m[0], range(m.start(), m.end()), [0]
-
-
-def _packed(layer: Layer, most: int, flags: set) -> list[Layer]:
-    """A layer for each base64 run that holds text or a compressed stream of text."""
-    made = []
-    covered: dict[int, int] = {}  # ends of decoded runs by their place and where it stands among fours
-    for run, places, begins in _runs(layer.text):
-        if not _MIXED.match(run):
-            continue
-        # A run may follow a path or a word joined to it by one of the alphabet's own signs.
-        for at in sorted({*begins, *(i + 1 for i, c in enumerate(run[:-16]) if c in "/_-+")}):
-            if places[at] in covered and covered[places[at]] >= places[-1]:
-                break  # decoded with the lines before it
-            raw = _unbase64(run[at:])
-            if raw is None or len(raw) < 8:
-                continue
-            chain, whole, seen, last = (*layer.chain, "base64"), False, set(), len(run)
-            try:
-                while (got := _inflate(raw, most)) is not None and (digest := hashlib.sha1(got[0]).digest()) not in seen:
-                    seen.add(digest)
-                    if not whole and (used := at + (got[1] + 2) // 3 * 4) < len(run):
-                        last = used  # a word on the next line is not of the stream
-                    raw, whole, chain = got[0], True, (*chain, "compressed")
-            except OverflowError:
-                flags.add("incomplete")
+class _Work:
+    """The layers still to be scanned."""
+
+    def __init__(self, text: str, piece: int, overlap: int):
+        self.todo, self.flags, self.piece, self.overlap = [Layer(text)], set(), piece, overlap
+
+    def unpack(self, raw: bytes, region, chain) -> int:
+        """Adds a layer for what can be read in the stream that raw begins with, and in those inside it; how much of raw it took, 0 if it is none."""
+        used, got = [0], False
+        chain, within, parts = (*chain, "compressed"), set(), _members([raw], self.piece, used)
+        while (first := next(parts, None)) is not None:
+            got = True
+            parts = itertools.chain([first], parts)
+            # A stream in the stream is read as it comes; one that holds itself ends where that shows.
+            if (key := hashlib.sha1(first).digest()) in within or next(_members([first], self.piece, [0]), None) is None:
+                break
+            within.add(key)
+            chain, parts = (*chain, "compressed"), _members(parts, self.piece, [0])
+        return (used[0] or len(raw)) if self.read(parts, region, chain) or got else 0
+
+    def read(self, parts, region, chain) -> bool:
+        """Adds the texts of a stream, each for the whole run."""
+        got = False
+        for data, last in _pieces(parts, self.piece, self.overlap):
+            got = True
+            for text, _, _ in _texts(data):
+                self.todo.append(Layer(text, region, chain))
+                if not last and len(text) > self.overlap and (m := re.search(rf"{_SIGNS}+\Z", text[-self.overlap - 1 :])) and len(m[0]) > self.overlap:
+                    self.flags.add("incomplete")
+        return got
+
+    def packed(self, layer: Layer) -> None:
+        """Adds a layer for each stretch of text, and each compressed stream, in the base64 runs of a layer."""
+        for m in _BASE64.finditer(layer.text):
+            if m.end() - m.start() < LEAST:
                 continue
-            texts = _texts(raw)
-            if not texts:
+            run, places = m[0], None
+            if "\n" in run or "\\" in run:
+                run, places, at = [], array("i"), m.start()
+                for x in [*_BREAK.finditer(layer.text, m.start(), m.end()), None]:
+                    end = x.start() if x else m.end()
+                    run.append(layer.text[at:end])
+                    places.extend(range(at, end))
+                    at = x.end() if x else end
+                run = "".join(run)
+                if len(run) < LEAST:
+                    continue
+            self.decoded(layer, run.rstrip("=").translate(_STANDARD), len(run), places, m.start())
+
+    def decoded(self, layer: Layer, run: str, padded: int, places, start: int) -> None:
+        chain = (*layer.chain, "base64")
+
+        def place(i):
+            return start + i if places is None else places[i]
+
+        for shift in range(4):
+            n = len(run) - shift
+            n -= n % 4 == 1  # a sign more is not of the run
+            if n < 8:
                 continue
-            for text, spans in texts:
-                if whole:
-                    lo, hi = layer.region(places[at], places[last - 1] + 1)
-                    starts, ends = [lo] * len(text), [hi] * len(text)
-                else:
-                    got = [layer.region(places[at + a // 3 * 4], places[min(len(run), at + (b + 2) // 3 * 4) - 1] + 1) for a, b in spans]
-                    starts, ends = [x[0] for x in got], [x[1] for x in got]
-                made.append(Layer(text, starts, ends, chain))
-            for k in range(at, len(run), 4):
-                covered[places[k]] = places[-1]
-            break
-    return made
+            raw = binascii.a2b_base64(run[shift : shift + n] + "=" * (-n % 4))
+
+            def region(a, b, shift=shift):
+                """Of the bytes a to b."""
+                return layer.region(place(shift + a // 3 * 4), place(min(padded, shift + (b + 2) // 3 * 4) - 1) + 1)
+
+            behind = 0
+            for at in _streams(raw):
+                if at >= behind and at % 3 == 0:
+                    body = raw[at:]
+                    # The region is known when the end of the stream is: it is asked for when its layers are scanned.
+                    took = [len(body)]
+                    used = self.unpack(body, lambda a, b, at=at, took=took, region=region: region(at, at + took[0]), chain)
+                    if used:
+                        took[0] = used
+                        behind = at + used
+            for text, at, width in _texts(raw):
+                self.todo.append(Layer(text, lambda a, b, at=at, width=width, region=region: region(at + a * width, at + b * width), chain))
+
+
+_STANDARD = str.maketrans("-_", "+/")
 
 
-def find(text: str, most: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], dict[tuple[str, int, int], str], bool]:
-    """Base spans; those of the decoded layers with the layers that they lay under; whether a layer was too large."""
+def find(text: str, piece: int = PIECE, overlap: int = OVERLAP) -> tuple[list[tuple[str, int, int]], dict[tuple[str, int, int], str], bool]:
+    """Base spans; those of the decoded layers with the layers that they lay under; whether a stream was read in pieces that may hide a layer."""
     base = scan(text)
-    flags: set[str] = set()
     added: dict[tuple[str, int, int], str] = {}
-    work, seen, known = [Layer(text)], set(), set(base)
-    while work:
-        layer = work.pop()
+    work, seen, known = _Work(text, piece, overlap), set(), set(base)
+    while work.todo:
+        layer = work.todo.pop()
         t = layer.text
-        if layer.starts is not None:
-            key = hashlib.sha1(f"{layer.starts[0]}:{layer.ends[-1]}:".encode() + t.encode()).digest()
+        if layer.chain:
+            key = hashlib.sha1(f"{layer.region(0, len(t))}:".encode() + t.encode("utf-8", "surrogatepass")).digest()
             if key in seen:
                 continue
             seen.add(key)
@@ -281,13 +326,13 @@ def find(text: str, most: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]],
                     known.add(span)
                     added[span] = ">".join(layer.chain)
         if "%" in t and (x := _replaced(layer, _URL, _url, "url")):
-            work.append(x)
+            work.todo.append(x)
         if "\\" in t or "&#" in t:
             paired = _replaced(layer, _PAIR, _pair, "unicode") if "\\u" in t else None
             if (x := _replaced(paired or layer, _UNICODE, _unicode, "unicode") or paired):
-                work.append(x)
-        work += _packed(layer, most, flags)
-    return base, added, bool(flags)
+                work.todo.append(x)
+        work.packed(layer)
+    return base, added, bool(work.flags)
 
 
 def _order(span):
@@ -312,7 +357,7 @@ def redacted(text: str, spans) -> str:
 SPANS = "array<struct<kind:string,start:int,end:int,layers:string>>"
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER, redact: bool = False) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """(id, base array of spans, added array of spans, incomplete boolean[, redacted string]); layers is empty for base spans."""
 
     def run(batches):
@@ -324,7 +369,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = batch.slice(at, 512)
                 base, added, flag, texts = [], [], [], []
                 for t in part.column(1).to_pylist():
-                    b, a, i = find(t or "", max_layer)
+                    b, a, i = find(t or "")
                     base.append([{"kind": k, "start": x, "end": y, "layers": ""} for k, x, y in sorted(b, key=_order)])
                     added.append([{"kind": s[0], "start": s[1], "end": s[2], "layers": a[s]} for s in sorted(a, key=_order)])
                     flag.append(i)
@@ -340,7 +385,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return source.mapInArrow(run, f"id long, base {SPANS}, added {SPANS}, incomplete boolean" + ", redacted string" * redact).withColumnRenamed("id", id_col)
 
 
-def redacted_rows(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", max_layer: int = MAX_LAYER) -> DataFrame:
+def redacted_rows(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """df with every span found replaced by a mark, and the number of characters with it."""
     names = df.columns
 
@@ -354,7 +399,7 @@ def redacted_rows(df: DataFrame, text_col: str = "text", chars_col: str = "n_cha
                 cols = list(part.columns)
                 new, changed = [], {}
                 for i, t in enumerate(cols[at].to_pylist()):
-                    base, added, _ = find(t, max_layer) if t else ((), (), False)
+                    base, added, _ = find(t) if t else ((), (), False)
                     if base or added:
                         t = redacted(t, [*base, *added])
                         changed[i] = len(t)

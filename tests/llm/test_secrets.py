@@ -4,11 +4,14 @@ import gzip
 import hashlib
 import json
 import lzma
+import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from millrace.llm import secrets
@@ -74,7 +77,8 @@ def test_char_by_char_regions_are_exact():
 
 
 def wrapped(raw, width, end="\n"):
-    return end.join(b64(raw)[i : i + width] for i in range(0, len(b64(raw)), width))
+    coded = b64(raw)
+    return end.join(coded[i : i + width] for i in range(0, len(coded), width))
 
 
 PROSE = "Words that stand before and behind the secret, so that it lies over many lines. "
@@ -119,8 +123,56 @@ def test_one_bad_byte_hides_nothing(wrap):
 def test_cycles_and_bombs_end():
     for text in ("%25" * 3000, "%2525252525" * 50, "&#38;" * 500, "\\u005cu005c" * 100):
         find(text)
-    own, added, incomplete = find("see " + b64(gzip.compress(b"0" * 200_000)), most=100_000)
-    assert incomplete and not added
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda b: zstandard.ZstdCompressor().compress(b)])
+def test_streams_of_many_pieces_are_read_whole(pack):
+    """Secrets at, before and behind the borders of pieces; each is reported once, for the whole run."""
+    for at in (0, 990, 1000, 3990, 95_000, 199_900):
+        body = bytearray(b"nothing here. " * 15_000)
+        body[at : at + len(SECRET)] = SECRET.encode()
+        coded = b64(pack(bytes(body)))
+        text = f"see {coded} end"
+        own, added, incomplete = find(text, piece=1000, overlap=100)
+        assert ("assign", 4, 4 + len(coded)) in added and not incomplete
+        assert all(4 <= a < b <= 4 + len(coded) for _, a, b in added)
+
+
+def test_what_pieces_may_hide_is_said():
+    assert find("see " + b64(gzip.compress(b"a" * 5000)), piece=1000, overlap=100)[2]
+
+
+JOINED = {
+    "two letters before": lambda t: "ab" + b64(f"Some words, then {t}".encode()),
+    "a path before": lambda t: "/srv/data-x/" + b64(f"Some words, then {t}".encode()),
+    "gzip behind a path": lambda t: "a/b_c-" + b64(gzip.compress(t.encode())),
+    "a word behind gzip": lambda t: b64(gzip.compress(t.encode())).rstrip("=") + "/and/more/of/it",
+    "no upper case": lambda t: b64(t.encode()),
+    "short lines": lambda t: wrapped(f"Some words, then {t}".encode(), 12),
+    "large gzip of gzip": lambda t: b64(gzip.compress(gzip.compress(random.Random(1).randbytes(300_000) + t.encode()))),
+    "gzip of base64 of gzip": lambda t: b64(gzip.compress(b64(gzip.compress(t.encode())).encode())),
+}
+
+
+@pytest.mark.parametrize("wrap", JOINED)
+@pytest.mark.parametrize("before", ["", "x", "xy", "xyz"])
+def test_what_joins_a_run_hides_nothing(wrap, before):
+    coded = before + JOINED[wrap](SECRET)
+    text = f"Before it: {coded} And after it."
+    inside = [s for s in find(text, piece=100_000, overlap=5000)[1] if s[0] == "assign"]
+    assert inside and all(11 <= a < b <= 11 + len(coded) for _, a, b in inside)
+
+
+def test_time_grows_with_the_text():
+    """Random base64, with and without line breaks, and secrets at its end."""
+    r = random.Random(3)
+    for size in (200_000, 2_000_000):
+        raw = r.randbytes(size) + f" {SECRET} ".encode()
+        for text in (b64(raw), wrapped(raw, 76), b64(raw).replace("A", "/")):
+            start = time.process_time()
+            find(text)
+            assert time.process_time() - start < 12
+    assert any(s[0] == "assign" for s in find(b64(raw))[1])
 
 
 def test_clean_text_has_no_findings():
