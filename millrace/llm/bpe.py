@@ -1,9 +1,13 @@
 """BPE encoding and decoding (operator 6).
 
-A text is cut at ASCII white space, which the tokenizer drops and its merges never cross; what lies between is
-encoded once per worker and kept in a bounded table. An unsplit run longer than `leaf` characters goes through
-tree concatenation: halves are encoded in parallel, and windows around each join are encoded again, growing until
-both sides agree exactly.
+A text longer than `leaf` characters goes through tree concatenation, whatever is in it: it is halved into leaves at
+any character, these are encoded, and on the way up each join is mended. A window of text around the join is encoded
+anew and grows until it agrees exactly with both sides: on either side two neighbouring tokens, with their places, are
+those of the window. Every two neighbours of the result then stand next to each other in an encoding of their own
+text, which for merges by rank makes the result the encoding of the whole.
+
+Leaves and short texts are cut at ASCII white space, which the tokenizer drops and its merges never cross; what lies
+between is encoded once per worker and kept in a bounded table. Tokens with places are worked out near joins alone.
 
 Defined results: a null text is the empty text; an empty text has no ids; rows and ids may repeat, one row out for
 each row in; other columns of the input are not looked at.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +25,14 @@ from pyspark.sql import functions as F
 from .common import modest_batches, release_memory, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Unsplit runs beyond so many characters are encoded by halves.
+#: Texts beyond so many characters are encoded by halves.
 LEAF = 4096
 #: Signs that the tokenizer cuts off a letter or digit before them.
 SIGNS = rb"""!"#$%&'()*+,-./:;=>?@[\]^_`{|}~"""
 #: Characters on either side of a join in the first window.
 WINDOW = 64
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACES = " \t\n\x0b\x0c\r"
 #: Words beyond which a worker begins a new table of what it has learnt, once the rows at hand are done; it keeps two.
 KNOWN = 100_000
 
@@ -44,66 +51,86 @@ class Coder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.leaf, self.window, self.known = leaf, window, known
+        # A window at a cut within a special token must hold all of it.
+        self.leaf, self.window, self.known = leaf, max([window, *(len(t.content) + 1 for t in self.tok.get_added_tokens_decoder().values())]), known
         #: For words, and for what is left of them without case and signs at the end: ids, text decoded from them, number of ids.
         self.words: dict[bytes, tuple[str, str, int]] = {}
         self.stems: dict[bytes, tuple[str, str, int]] = {}
         #: Full tables grow old: what is asked for again moves on to the new one, the rest goes with the next change.
         self.old_words: dict[bytes, tuple[str, str, int]] = {}
         self.old_stems: dict[bytes, tuple[str, str, int]] = {}
-        special = self.tok.get_added_tokens_decoder()
         #: Token of each id; without a decoder, decoding joins them by one space.
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.names = {i: t for t, i in vocabulary.items()} if self.tok.decoder is None else {}
         self.decimals = {i: str(i) for i in vocabulary.values()}
-        ends = {i for t, i in vocabulary.items() if t.endswith("</w>")}
-        #: Ids that close a unit which no merge crosses.
-        self.closing = ends | set(special)
+        #: Characters encoded for joins, and of the texts that they are in.
+        self.again = self.treed = 0
 
     def forget(self) -> None:
         self.words, self.stems, self.old_words, self.old_stems = {}, {}, {}, {}
 
-    def _plain(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        return [(e.ids, e.offsets) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def tree(self, text: str) -> list[int]:
-        """Ids of a long text without white space, as the tokenizer gives for the whole."""
-        cuts = list(range(0, len(text), self.leaf)) + [len(text)]
-        parts = [(a, b, ids, [(x + a, y + a) for x, y in off]) for (a, b), (ids, off) in zip(zip(cuts, cuts[1:], strict=False), self._plain([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]), strict=True)]
+    def _plain(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(start, end, id) of the tokens of each text."""
+        return [[(x, y, i) for i, (x, y) in zip(e.ids, e.offsets, strict=True)] for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def tree(self, text: str) -> list[tuple[str, str, int]]:
+        """Entries, one after another, of a long text, as the tokenizer encodes the whole. Words that no join has touched are to be learnt already."""
+        cuts = [*range(0, len(text), self.leaf), len(text)]
+        parts = [(a, b, [(m.start(), m.end(), None) for m in _WORD.finditer(text, a, b)]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        # What a cut leaves of a word is encoded with the join; longer runs than a window as they are, all of them side by side.
+        long = [(part, k) for _, _, part in parts for k in range(len(part)) if part[k][1] - part[k][0] > 4 * self.window]
+        for (part, k), tokens in zip(long, self._plain([text[part[k][0] : part[k][1]] for part, k in long]), strict=True):
+            start, end, _ = part[k]
+            part[k] = start, end, [(start + x, start + y, i) for x, y, i in tokens]
         while len(parts) > 1:
             parts = [self._join(text, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0][2]
-
-    def _closings(self, ids, offsets) -> dict[int, int]:
-        """End of each closed unit in the text -> how many ids come before it."""
-        return {offsets[i][1]: i + 1 for i, x in enumerate(ids) if x in self.closing}
-
-    def _join(self, text, left, right):
-        a, at, left_ids, left_off = left
-        _, b, right_ids, right_off = right
-        ends, starts = self._closings(left_ids, left_off), self._closings(right_ids, right_off)
+        self.treed += len(text)
+        return [self.words[text[x:y].encode()] if tokens is None else self._entry([i for _, _, i in tokens]) for x, y, tokens in parts[0][2]]
+
+    def _opened(self, text: str, unit) -> list[tuple[int, int, int]]:
+        """The tokens of a unit, with their places."""
+        start, end, tokens = unit
+        if tokens is None:
+            (found,) = self._plain([text[start:end]])
+            self.again += end - start
+            tokens = [(start + x, start + y, i) for x, y, i in found]
+        return tokens
+
+    def _join(self, text: str, left, right):
+        """left and right: (start, end, units); a unit is (start, end, tokens), or None for the tokens of a word as the table has them."""
+        a, at, before = left
+        _, b, after = right
+        if text[at - 1] in _SPACES or text[at] in _SPACES:
+            return a, b, before + after  # no token crosses white space
         size = self.window
         while True:
             lo, hi = max(a, at - size), min(b, at + size)
-            ((ids, off),) = self._plain([text[lo:hi]])
-            off = [(x + lo, y + lo) for x, y in off]
-            own = self._closings(ids, off)
-            # The unit that the window itself cuts off proves nothing, nor does one next to an end of its text.
-            first = (0, 0) if lo == a else next(((ends[p], own[p]) for p in sorted(own) if p in ends and lo + 1 < p < at - 1), None)
-            last = (len(right_ids), len(ids)) if hi == b else next(((starts[p], own[p]) for p in sorted(own, reverse=True) if p in starts and at + 1 < p < hi - 1), None)
-            whole = lo == a and hi == b
-            if whole or first and last and first[1] <= last[1] and self._agree(left_ids, left_off, right_ids, right_off, ids, off, first, last, at):
-                return a, b, left_ids[: first[0]] + ids[first[1] : last[1]] + right_ids[last[0] :], left_off[: first[0]] + off[first[1] : last[1]] + right_off[last[0] :]
+            # Tokens of either side within the window's reach.
+            k, near = len(before), []
+            while k and before[k - 1][1] > lo:
+                k -= 1
+                near = self._opened(text, before[k]) + near
+            j, far = 0, []
+            while j < len(after) and after[j][0] < hi:
+                far = far + self._opened(text, after[j])
+                j += 1
+            ((*own,),) = self._plain([text[lo:hi]])
+            own = [(x + lo, y + lo, i) for x, y, i in own]
+            self.again += hi - lo
+            # Only between characters: within one the same byte may stand several times.
+            pairs = {(x, y): i for i, (x, y) in enumerate(zip(own, own[1:], strict=False)) if x[1] <= y[0]}
+            # Up to the first of two tokens that agree the left side's tokens hold, from there on the window's, and so at the right.
+            first = (0, 0) if lo == a else next(((i + 1, pairs[p] + 1) for i, p in enumerate(zip(near, near[1:], strict=False)) if p in pairs), None)
+            last = (len(far), len(own)) if hi == b else next(((i, pairs[far[i - 1], far[i]] + 1) for i in range(len(far) - 1, 0, -1) if (far[i - 1], far[i]) in pairs), None)
+            if first and last and first[1] <= last[1]:
+                if lo == a:
+                    near, k, first = [], 0, (0, 0)
+                if hi == b:
+                    far, j, last = [], len(after), (0, len(own))
+                tokens = near[: first[0]] + own[first[1] : last[1]] + far[last[0] :]
+                return a, b, before[:k] + ([(tokens[0][0], tokens[-1][1], tokens)] if tokens else []) + after[j:]
             size *= 4
 
-    @staticmethod
-    def _agree(left_ids, left_off, right_ids, right_off, ids, off, first, last, at) -> bool:
-        """Whether the window's next whole unit after `first`, and the one before `last`, are those of the halves as well."""
-        inner = [i for i in range(first[1], last[1]) if off[i][1] < at - 1]
-        same = all(left_ids[first[0] + i - first[1]] == ids[i] for i in inner[: len(inner) // 2])
-        outer = [i for i in range(first[1], last[1]) if off[i][0] > at + 1]
-        return same and all(right_ids[last[0] - (last[1] - i)] == ids[i] for i in outer[len(outer) - len(outer) // 2 :] if last[0] - (last[1] - i) >= 0)
-
     def _short(self, words: list[tuple[bytes, str]]):
         """Ids of words encoded together with spaces between, dealt back by their offsets."""
         for a in range(0, len(words), 2000):
@@ -150,15 +177,12 @@ class Coder:
         for w in new:
             if not w:
                 stems[w] = ("", "", 0)
-            elif w.isalpha() and w.islower() and len(w) <= self.leaf:
+            elif w.isalpha() and w.islower():
                 stems[w] = entry([t.id for t in tokenize(w.decode())])
             else:
                 others.append((w, w.decode()))
-        for w, ids in self._short([x for x in others if len(x[1]) <= self.leaf]):
+        for w, ids in self._short(others):
             stems[w] = entry(ids)
-        for w, t in others:
-            if len(t) > self.leaf:
-                stems[w] = entry(self.tree(t))
         for w, stem, tail in cut:
             got = stems[stem]
             if tail:
@@ -174,13 +198,13 @@ class Coder:
         if len(self.stems) > self.known:
             self.stems, self.old_stems = {}, self.stems
         known = self.words
-        missing = {w for words in split for w in words if w not in known}
+        missing = {w for t, words in zip(texts, split, strict=True) for w in words if w not in known and (len(t) <= self.leaf or len(w) <= 16 * self.window)}  # bytes, of at most four a character
         missing -= self._renewed(missing, self.old_words, known)
         if missing:
             self.learn(missing)
         out = []
-        for words in split:
-            got = [g for w in words if (g := known[w])[2]]
+        for t, words in zip(texts, split, strict=True):
+            got = [g for g in (self.tree(t) if len(t) > self.leaf else map(known.__getitem__, words)) if g[2]]
             out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])))
         return out
 

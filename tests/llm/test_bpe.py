@@ -1,10 +1,11 @@
+import base64
 import hashlib
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from millrace.llm.bpe import Coder, default_path, encode, ids, op6_bpe_tree
+from millrace.llm.bpe import LEAF, Coder, default_path, encode, ids, op6_bpe_tree
 
 from .helpers import clashing, docs, hard_rows, prose
 
@@ -72,6 +73,27 @@ def test_long_unsplit_text(library, coder, kind):
     assert Coder(default_path()).encode([text]) == [library(text)]
 
 
+@pytest.mark.parametrize("kind", ["letters", "prose", "base64"])
+def test_joins_encode_little_again(library, kind):
+    r = random.Random(kind)
+    n = 65_536
+    text = {
+        "letters": lambda: "".join(r.choice("etaoinshrdlu") for _ in range(n)),
+        "prose": lambda: prose(3, n // 8),
+        "base64": lambda: base64.b64encode(r.randbytes(n)).decode(),
+    }[kind]()
+    coder = Coder(default_path())
+    assert coder.encode([text]) == [library(text)]
+    assert coder.treed == len(text) and 0 < coder.again < 0.2 * len(text)
+
+
+def test_long_documents_go_through_the_tree(spark, library):
+    """Whole documents beyond a leaf, as the query sends them."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if len(r[0] or "") > LEAF]
+    coder = Coder(default_path())
+    assert coder.encode(texts) == [library(t) for t in texts] and coder.treed == sum(map(len, texts)) > 50 * LEAF
+
+
 def test_bounded_table(library):
     small = Coder(default_path(), known=20)
     texts = [prose(i, 30) for i in range(20)]
