@@ -1,14 +1,17 @@
 """Embedding near-dedup by sorted projection passes (operator 4).
 
-Each pass signs every vector with 64 random hyperplanes and orders the vectors by those bits; each is compared, in
-double precision, with the next `window` ones. Where more vectors than a window holds share the first bits of a pass,
-all pairs of them are compared in blocks. Links of all passes are united. What is left out in dense groups is made up
-exactly: within each component all pairs are compared in blocks, of which only counts leave a task.
-
-A pair at the threshold shares those first bits in some pass with probability 0.98 or more, by its angle alone: the
-share found does not rest on how the other vectors lie. The number of passes follows the table's size and, as a matter
-of cost, how crowded the first bits are in a sample. Equal vectors are one class from the start. Vectors that are null, zero, or hold null or non-finite parts link with nothing; only
-vectors of equal length are compared; components are read as 32-bit floats and compared in double precision; repeated ids are rows of their own with the links of their vector.
+Each pass signs every vector with 64 random hyperplanes and orders the vectors by those bits. Within each run of vectors
+that share the first bits, a vector is compared, in double precision, with the `window` ones behind it; where more than
+a window share them, all pairs of the run are compared in blocks. Links of all passes are united. What is left out in
+dense groups is made up exactly: within each component all pairs are compared in blocks, of which only counts leave a
+task.
+
+A pair at the threshold shares those first bits in some pass with probability `recall` or more, by its angle alone: the
+share found rests neither on the table's size nor on how the other vectors lie. How many passes there are, and so how
+many bits, is a matter of cost, weighed by how crowded first bits are in a sample; no number is too large. A run lies
+in one task, so that none ends at a seam. Equal vectors are one class from the start. Vectors that are null, zero, or
+hold null or non-finite parts link with nothing; only vectors of equal length are compared; repeated ids are rows of
+their own with the links of their vector.
 """
 
 from __future__ import annotations
@@ -22,20 +25,16 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, components, cut, table
 
 THRESHOLD = 0.9
-WINDOW = 96
+WINDOW = 1024
 RECALL = 0.98
 SEED = 11
-BLOCK = 512
+#: Rows of a block: in components a sixteenth of them within these bounds, so that tasks are even and copies few.
+BLOCK = 1024
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 256, 4096, 16
 #: Rows that the cost of more passes is judged by, and the comparisons that a row costs in a further pass by itself.
 SAMPLE = 4096
 PASS_COST = 2000
-
-
-def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has met in a window with the given probability."""
-    same = 1 - math.acos(threshold) / math.pi
-    met = same ** max(0.0, math.log2(max(2, n) / window))
-    return max(6, min(64, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - min(met, 0.999))))))
+LEAST_PASSES = 6
 
 
 def prefix_bits(passes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -44,12 +43,11 @@ def prefix_bits(passes: int, threshold: float = THRESHOLD, recall: float = RECAL
     return min(63, int(math.log(1 - (1 - recall) ** (1 / passes)) / math.log(same) + 1e-9))
 
 
-def measured_passes(classes: DataFrame, n: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> int:
-    """passes_for, or more of them where a sample shares its first bits so often that longer prefixes cost less."""
-    least = passes_for(n, window, threshold, recall)
+def measured_passes(classes: DataFrame, n: int, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> int:
+    """The number of passes that costs least, by how often rows of a sample share their first bits."""
     rows = [r["v"] for r in classes.orderBy(F.xxhash64("node", F.lit(seed))).limit(SAMPLE).select("v").collect()] if n else []
     if len(rows) < 2:
-        return least
+        return LEAST_PASSES
     together = np.zeros(64)
     for dim in {len(r) for r in rows}:
         x = _unit(np.array([r for r in rows if len(r) == dim], dtype=np.float64))
@@ -58,8 +56,26 @@ def measured_passes(classes: DataFrame, n: int, window: int = WINDOW, threshold:
             for bits in range(64):
                 size = np.unique(key >> np.uint64(64 - bits) if bits else key * np.uint64(0), return_counts=True)[1].astype(float)
                 together[bits] += (size * (size - 1)).sum() / 4
-    near = together / (len(rows) * (len(rows) - 1)) * n
-    return min(range(least, 65), key=lambda k: k * (PASS_COST + max(0.0, near[prefix_bits(k, threshold, recall)] - window)))
+    # Beyond what a sample can tell, each further bit halves a run at best.
+    share = np.maximum(together / (len(rows) * (len(rows) - 1)), 2.0 ** -np.arange(64))
+    return cheapest_passes(n, share, threshold, recall)
+
+
+def cheapest_passes(n: int, share: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """share: of all pairs of rows that share so many first bits. More passes allow for more bits; the least cost is at the fewest passes of a number of bits."""
+    best = None
+    for bits in range(64):
+        passes = max(LEAST_PASSES, passes_for(bits, threshold, recall))
+        cost = passes * (PASS_COST + share[bits] * n)
+        if best is None or cost < best[0]:
+            best = cost, passes
+    return best[1]
+
+
+def passes_for(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has shared its first bits with the given probability."""
+    met = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-met) - 1e-9)
 
 
 def _matrix(column) -> np.ndarray:
@@ -72,13 +88,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _window_links(part, ident, x, window, threshold):
-    """Pairs (positions) within the window of each other, in one pass, at or above the threshold."""
+def _window_links(x, window, threshold):
+    """Pairs (positions) at or above the threshold within the window of each other; a strip at a time, some of them further apart."""
     out = []
-    for d in range(1, min(window, len(ident) - 1) + 1):
-        near = np.flatnonzero((part[:-d] == part[d:]) & (np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold))
-        if len(near):
-            out.append((near, near + d))
+    for a in range(0, len(x), window):
+        p, q = np.nonzero(np.triu(x[a : a + window] @ x[a : a + 2 * window].T >= threshold, 1))
+        if len(p):
+            out.append((p + a, q + a))
+    return out
+
+
+def _block_links(x, left, right, threshold):
+    """Pairs (positions) at or above the threshold, one of left and one of right; in strips."""
+    out = []
+    for a in range(0, len(left), 512):
+        p, q = np.nonzero(x[left[a : a + 512]] @ x[right].T >= threshold)
+        if len(p):
+            out.append((left[a + p], right[q]))
     return out
 
 
@@ -98,8 +124,8 @@ def _forest(ident, pairs):
     return x[x != y], y[x != y]
 
 
-def _signed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """(pass, key, node, v): the bits of each vector in each pass, as a number."""
+def _signed(classes: DataFrame, passes: int, seed: int, vectors: bool = True) -> DataFrame:
+    """(pass, key, node[, v]): the bits of each vector in each pass, as a number. classes: (node, dim, v)."""
 
     def sign(batches):
         import pyarrow as pa
@@ -111,180 +137,117 @@ def _signed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
                 dims = piece.column(1).to_numpy()
                 for dim in np.unique(dims):
                     mine = piece.filter(pa.array(dims == dim))
-                    if dim not in planes:
-                        planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((passes, int(dim), 64))
                     x = _unit(_matrix(mine.column(2)))
                     for p in range(passes):
-                        bits = np.packbits((x @ planes[dim][p] >= 0), axis=1)
+                        if (dim, p) not in planes:
+                            planes[dim, p] = np.random.default_rng([seed, int(dim), p]).standard_normal((int(dim), 64))
+                        bits = np.packbits((x @ planes[dim, p] >= 0), axis=1)
                         key = bits.view(">u8").astype(np.uint64).ravel() ^ np.uint64(1 << 63)  # order of unsigned numbers as signed ones
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p * 65536 + int(dim), np.int64)), pa.array(key.view(np.int64)), mine.column(0), mine.column(2)], ["pass", "key", "node", "v"])
-
-    return classes.mapInArrow(sign, "pass long, key long, node long, v array<float>")
-
-
-def dense_links(classes: DataFrame, passes: int, bits: int, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(a, b) among vectors that share their first bits in a pass with more than a window holds, all compared in pairs of blocks."""
-    keyed = _signed(classes, passes, seed).withColumn("prefix", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long"))
-    crowded = keyed.groupBy("pass", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window + 1).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n")
-    rows = keyed.join(checked_broadcast(crowded), ["pass", "prefix"])
+                        cols = [pa.array(np.full(len(x), p * 65536 + int(dim), np.int64)), pa.array(key.view(np.int64)), mine.column(0)]
+                        yield pa.RecordBatch.from_arrays([*cols, mine.column(2)] if vectors else cols, ["pass", "key", "node", "v"][: 3 + vectors])
+
+    made = f", v {classes.schema['v'].dataType.simpleString()}" if vectors else ""
+    return classes.mapInArrow(sign, f"pass long, key long, node long{made}")
+
+
+def _groups(batches, keys: int):
+    """Tables of the rows that agree in their first columns, of batches sorted by these."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        starts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[0].column(i)[0].as_py() != k[i, 0] for i in range(keys)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for s, e in zip(starts, starts[1:], strict=False):
+            if s:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _in_blocks(rows: DataFrame, group: list[str], more: list[str]) -> DataFrame:
+    """Rows with their group's number of blocks, dealt as pairs of blocks (x, y) and sorted by group, x, y, and what else is asked for."""
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["pass", "prefix", "x", "y"]
-    rows = rows.select("pass", "prefix", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "v")
-    dealt = rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys)
-
-    def compare(batches):
-        import pyarrow as pa
-
-        def links(group):
-            x, y = group.column(2)[0].as_py(), group.column(3)[0].as_py()
-            mine, node, v = group.column(4).to_numpy(), group.column(5).to_numpy(), _unit(_matrix(group.column(6).combine_chunks()))
-            left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-            hit = v[left] @ v[right].T >= threshold
-            if x == y:
-                hit = np.triu(hit, 1)
-            p, q = np.nonzero(hit)
-            return _forest(node, [(left[p], right[q])]) if len(p) else ((), ())
-
-        def out(group):
-            a, b = links(group)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        held = None
-        for batch in batches:
-            piece = pa.Table.from_batches([batch])
-            if held is not None:
-                piece = pa.concat_tables([held, piece])
-            k = np.stack([piece.column(i).to_numpy() for i in range(4)])
-            starts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
-            for s, e in zip(starts, starts[1:], strict=False):
-                yield out(piece.slice(s, e - s))
-            held = piece.slice(starts[-1])
-        if held is not None and held.num_rows:
-            yield out(held)
-
-    return dealt.mapInArrow(compare, "a long, b long")
+    rows = rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    keys = [*group, "x", "y"]
+    return rows.select(*keys, "mine", "node", "v", *more).repartition(*map(F.col, keys)).sortWithinPartitions(*keys, *more)
 
 
-def window_links(classes: DataFrame, passes: int, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """(a, b) from all passes. classes: (node long, dim int, v array<double>)."""
-    dealt = _signed(classes, passes, seed).repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
+def pass_links(classes: DataFrame, passes: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """(a, b) from all passes: links that connect what the pairs found connect. classes: (node long, dim int, v array)."""
+    bits = prefix_bits(passes, threshold, recall)
+    prefix = F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long")
+    crowded = _signed(classes, passes, seed, vectors=False).groupBy("pass", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    crowded = crowded.where(F.col("n") > window + 1).select("pass", "prefix", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    rows = _signed(classes, passes, seed).withColumn("prefix", prefix).join(checked_broadcast(crowded), ["pass", "prefix"], "left")
+    # A run that a window holds, or a block, is in one task, in the order of its bits.
+    dealt = _in_blocks(rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))), ["pass", "prefix"], ["key"])
 
     def compare(batches):
-        """Links inside the partition, and its first and last rows for the seams."""
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        here, held, first = TaskContext.get().partitionId(), None, None
+        for g in _groups(batches, 4):
+            if g.num_rows < 2:
+                continue
+            x, y, node, v = g.column("x")[0].as_py(), g.column("y")[0].as_py(), g.column("node").to_numpy(), _unit(_matrix(g.column("v").combine_chunks()))
+            if x != y:
+                mine = g.column("mine").to_numpy()
+                pairs = _block_links(v, np.flatnonzero(mine == x), np.flatnonzero(mine == y), threshold)
+            else:
+                pairs = _window_links(v, max(window, block), threshold) if g.num_rows <= window + 1 else _block_links(v, np.arange(len(v)), np.arange(len(v)), threshold)
+            if pairs:
+                a, b = _forest(node, pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        def out(a=(), b=(), seam=(), rank=(), part=(), node=(), v=()):
-            cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(seam, pa.int64()), pa.array(rank, pa.int64()), pa.array(part, pa.int64()), pa.array(node, pa.int64()), pa.array(list(v), pa.list_(pa.float32()))]
-            n = max(len(c) for c in cols)
-            return pa.RecordBatch.from_arrays([c if len(c) else pa.nulls(n, c.type) for c in cols], ["a", "b", "seam", "rank", "pass", "node", "v"])
+    return dealt.mapInArrow(compare, "a long, b long")
 
-        def edge(rows, seam, start):
-            return out(seam=[seam] * len(rows), rank=range(start, start + len(rows)), part=[r[0] for r in rows], node=[r[1] for r in rows], v=[r[2] for r in rows])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
-                part, node, v = piece.column(0).to_numpy(), piece.column(2).to_numpy(), piece.column(3)
-                if first is None:
-                    first = True
-                    yield edge(list(zip(part[:window].tolist(), node[:window].tolist(), v.slice(0, window).to_pylist(), strict=True)), here, window)
-                rows = list(v.to_numpy(zero_copy_only=False))
-                if held is not None:
-                    part, node, rows = np.concatenate([held[0], part]), np.concatenate([held[1], node]), held[2] + rows
-                for p in np.unique(part):
-                    mine = np.flatnonzero(part == p)
-                    x = _unit(np.array([rows[i] for i in mine], dtype=np.float64))
-                    if pairs := _window_links(part[mine], node[mine], x, window, threshold):
-                        a, b = _forest(node[mine], pairs)
-                        if len(a):
-                            yield out(a=a, b=b)
-                held = part[-window:], node[-window:], rows[-window:]
-        if held is not None:
-            yield edge([(int(p), int(n), [float(y) for y in x]) for p, n, x in zip(*held, strict=True)], here + 1, 0)
-
-    made = cut(dealt.mapInArrow(compare, "a long, b long, seam long, rank long, pass long, node long, v array<float>"))
-
-    def seams(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("rank", kind="stable")
-        a, b = [], []
-        for _, g in pdf.groupby("pass"):
-            node = g["node"].to_numpy()
-            x = _unit(np.array(list(g["v"]), dtype=np.float64))
-            if pairs := _window_links(np.zeros(len(node)), node, x, window, threshold):
-                p, q = _forest(node, pairs)
-                a += p.tolist()
-                b += q.tolist()
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-    inner = made.where("a is not null").select("a", "b")
-    across = made.where("seam is not null").groupBy("seam").applyInPandas(seams, "a long, b long")
-    return inner.unionByName(across)
-
-
-def link_counts(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def link_counts(members: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """(node, links): rows linked to each node within its component, by exact comparison in pairs of blocks. members: (component, node, v, weight)."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(sizes, "component").where("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "weight", "v")
-    keys = ["component", "x", "y"]
-    dealt = rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "mine")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    size = F.lit(block) if block else F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("n") / F.lit(BLOCKS))))
+    dealt = _in_blocks(members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / size).cast("int")), ["component"], ["weight"])
 
     def count(batches):
         import pyarrow as pa
 
-        def done(group):
-            mine = np.array([g[3] for g in group])
-            node, weight = np.array([g[4] for g in group]), np.array([g[5] for g in group], dtype=np.int64)
-            v = _unit(np.array([g[6] for g in group], dtype=np.float64))
-            same = group[0][1] == group[0][2]
-            left, right = (mine == group[0][1], mine == group[0][2])
-            hit = v[left] @ v[right].T >= threshold
-            if same:
-                np.fill_diagonal(hit, False)
-                return node, hit @ weight
-            return np.concatenate([node[left], node[right]]), np.concatenate([hit @ weight[right], hit.T @ weight[left]])
-
-        group = []
-        nodes, links = [], []
-        for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and group[0][:3] != r[:3]:
-                    a, b = done(group)
-                    nodes.append(a)
-                    links.append(b)
-                    group = []
-                    if sum(map(len, nodes)) > 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links))], ["node", "links"])
-                        nodes, links = [], []
-                group.append(r)
-        if group:
-            a, b = done(group)
-            nodes.append(a)
-            links.append(b)
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links))], ["node", "links"])
+        for g in _groups(batches, 3):
+            x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
+            node, weight, v, mine = g.column("node").to_numpy(), g.column("weight").to_numpy(), _unit(_matrix(g.column("v").combine_chunks())), g.column("mine").to_numpy()
+            links = np.zeros(len(node), np.int64)
+            left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+            for a in range(0, len(left), 512):
+                strip = left[a : a + 512]
+                hit = v[strip] @ v[right].T >= threshold
+                if x == y:
+                    hit[np.arange(len(strip)), a + np.arange(len(strip))] = False
+                else:
+                    links[right] += hit.T @ weight[strip]
+                links[strip] += hit @ weight[right]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], ["node", "links"])
 
     return dealt.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
-    v = F.col(vector_col).cast("array<float>")
+    kind = df.schema[vector_col].dataType
+    part = "float" if kind.simpleString() == "array<float>" else "double"
+    v = F.col(vector_col).cast(f"array<{part}>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     good = F.coalesce((F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v")).withColumn("class", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0).cast("float")).cast("string"))), 256))))
+    rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.when(good, v).alias("v")).withColumn("class", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0).cast(part)).cast("string"))), 256))))
     classes = cut(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")).withColumn("node", F.xxhash64("class")))
     n = classes.count()
-    passes = measured_passes(classes, n, window, threshold, recall)
-    vectors = classes.select("node", F.size("v").alias("dim"), "v")
-    links = window_links(vectors, passes, window, threshold).unionByName(dense_links(vectors, passes, prefix_bits(passes, threshold, recall), window, threshold))
-    found = cut(components(links))
+    passes = measured_passes(classes, n, threshold, recall)
+    found = cut(components(pass_links(classes.select("node", F.size("v").alias("dim"), "v"), passes, window, threshold, recall)))
     members = classes.join(found, "node").select("component", "node", "v", "weight")
     counts = link_counts(members, threshold)
     named = classes.select("class", "node", "least", "weight").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from millrace.llm.neardup import link_counts, near_duplicates, op4_projection_passes, passes_for, prefix_bits
+from millrace.llm.neardup import cheapest_passes, link_counts, near_duplicates, op4_projection_passes, passes_for, prefix_bits
 from pyspark.sql import functions as F
 
 from .helpers import union_find
@@ -108,10 +108,11 @@ def test_hot_topic_below_the_threshold(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(200)) >= 0.95 * 200
 
 
-@pytest.mark.parametrize("passes", [6, 15, 64])
+@pytest.mark.parametrize("passes", [6, 15, 64, 200, 1000])
 def test_first_bits_reach_the_recall(passes):
     same, bits = 1 - math.acos(0.9) / math.pi, prefix_bits(passes)
     assert 1 - (1 - same**bits) ** passes >= 0.98 > 1 - (1 - same ** (bits + 1)) ** passes
+    assert passes_for(bits) <= passes < passes_for(bits + 1)
 
 
 def test_bad_vectors_link_with_nothing(spark):
@@ -141,9 +142,49 @@ def test_counts_in_blocks(spark):
     assert many == one and len(one) == 50
 
 
-@pytest.mark.parametrize("n", [0, 1, 1000, 10**6, 10**9])
+@pytest.mark.parametrize("n", [0, 1, 1000, 10**6, 10**8, 10**10, 10**12])
 def test_passes_follow_the_table(n):
-    assert 6 <= passes_for(n) <= 64 and passes_for(n) <= passes_for(10 * n + 1)
+    """Evenly spread, runs stay bounded: there is no number of passes at which they end."""
+    share = 2.0 ** -np.arange(64)
+    passes, more = cheapest_passes(n, share), cheapest_passes(10 * n + 1, share)
+    assert passes <= more and n * share[prefix_bits(passes)] < 6000
+    # Crowded first bits ask for more of them.
+    assert cheapest_passes(n, np.sqrt(share)) >= passes
+
+
+@pytest.mark.parametrize("parts", [1, 4, 37, 200])
+def test_partitions_small_and_empty(spark, parts):
+    """A few rows a partition, and most partitions empty: planted pairs at the threshold are found as often."""
+    r = np.random.default_rng(17)
+    rows = []
+    for _ in range(250):
+        a = r.standard_normal(32)
+        a /= np.linalg.norm(a)
+        b = r.standard_normal(32)
+        b -= (b @ a) * a
+        rows += [a, 0.905 * a + math.sqrt(1 - 0.905**2) * b / np.linalg.norm(b)]
+    rows = [(i, [float(x) for x in np.float32(v)], 0) for i, v in enumerate(rows)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(parts), window=4).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows) and recall(rows, got) >= 0.95
+
+
+def test_double_vectors_are_compared_as_such(spark):
+    """Pairs so near the threshold that they would change sides as 32-bit floats."""
+    rows = []
+    for k in range(60):
+        c = 0.9 + (-1) ** k * 1e-10
+        rows += [(2 * k, [1.0, 0.0, *([0.0] * k), 1e-7], 0), (2 * k + 1, [c, math.sqrt(1 - c * c), *([0.0] * k), 0.0], 0)]
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    count = dict.fromkeys(range(120), 0)
+    for a, b in brute(rows):
+        count[a] += 1
+        count[b] += 1
+    assert got == count and len(set(count.values())) > 1
 
 
 def test_query(spark):
