@@ -9,7 +9,7 @@ fingerprint is put under its own value and those within t_i of it; what shares a
 Links stay exact: no bucket is capped. A bucket above `max_bucket` rows is dealt out as pairs of blocks.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; equal rows link; an empty
-table gives an empty result; other columns of the input are not looked at.
+table gives an empty result; other columns of the input are looked at only to choose one of rows of an id and text.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long: the 64 bits as a signed number)."""
+    """(id, text_hash long, fp long: the 64 bits as a signed number)."""
 
     def run(batches):
         import pyarrow as pa
@@ -58,11 +58,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+                found = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found.view(np.int64))], ["id", "text_hash", "fp"])
 
     modest_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), _text_hash(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "id long, text_hash long, fp long")
+
+
+def _text_hash(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -267,25 +272,32 @@ def linked(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS,
     return dealt.mapInArrow(lambda batches: _compared(batches, radius), "a long, b long")
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: tuple[int, ...] = PARTS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long, component: the smallest id reachable) for each row."""
-    prints = cut(fingerprints(df, id_col, text_col, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+def _with_lows(prints: DataFrame, radius: int, parts: tuple[int, ...], max_bucket: int) -> DataFrame:
+    """prints with low: the smallest (id, text_hash) reachable; null ids are the greatest. Rows of one print are one node."""
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash"))
+    classes = cut(prints.groupBy("fp").agg(first.alias("least")))
     found = components(linked(classes, radius, parts, max_bucket)).withColumnRenamed("node", "fp")
     named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lows = named.groupBy("component").agg(F.min("least").alias("low"))
-    by_print = named.join(lows, "component").select("fp", "low")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", F.col("low").alias("component"))
-
-
-def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group: the one of the smallest id, with the columns of df. Null ids count as the smallest; of repeated rows of an id and text one stays."""
-    key, text_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    slim = df.select(key.alias("id"), F.col(text_col).alias("text"))
-    found = simhash_components(slim, "id", "text", **options).where("id = component").select("id").distinct()
-    named = df.select(F.struct("*").alias("row"), key.alias("id"), text_hash.alias("text_hash"))
-    rank = F.row_number().over(W.partitionBy("id", "text_hash").orderBy("text_hash"))
-    return named.join(found, "id", "left_semi").withColumn("rank", rank).where("rank = 1").select("row.*")
+    return prints.join(named.join(lows, "component").select("fp", "low"), "fp")
+
+
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: tuple[int, ...] = PARTS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp long, component: the smallest id reachable, null only if there is none) for each row."""
+    got = _with_lows(cut(fingerprints(df, id_col, text_col, shingle)), radius, parts, max_bucket)
+    return got.select(F.col("id").alias(id_col), "fp", F.col("low.id").alias("component"))
+
+
+def unique_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: tuple[int, ...] = PARTS, max_bucket: int = MAX_BUCKET, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group, with the columns of df: the one of the smallest id, of several the one of the smallest hash of its text, then of its other columns. Null ids come last; rows with the same id and text are one, so null ids need not meet."""
+    prints = _with_lows(cut(fingerprints(df, id_col, text_col, shingle).distinct()), radius, parts, max_bucket)
+    found = prints.select(F.col("low.id").alias("id"), F.col("low.text_hash").alias("text_hash")).distinct()
+    # Long ids and hashes take no part of the long range: where an id is null, another column says so.
+    key = [F.coalesce(F.col("id"), F.lit(0)).alias("id"), F.col("id").isNull().alias("unknown"), "text_hash"]
+    named = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"))
+    others = F.to_json(F.struct([F.col("row")[c] for c in df.columns if c != text_col] or [F.lit(0).alias("none")]))
+    rank = F.row_number().over(W.partitionBy("id", "unknown", "text_hash").orderBy(F.xxhash64(others), others))
+    return named.select("row", *key).join(found.select(*key), ["id", "unknown", "text_hash"], "left_semi").withColumn("rank", rank).where("rank = 1").select("row.*")
 
 
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

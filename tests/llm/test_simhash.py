@@ -59,8 +59,26 @@ def test_hard_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components([r[:2] for r in rows])})
     assert unique_rows(docs(spark, [])).collect() == []
-    # A null id counts as the smallest; a row stays for it.
-    assert unique_rows(docs(spark, [(None, "a b c", None, None, None), (4, "a b c", None, None, None)])).collect()[0]["doc_id"] is None
+
+
+def near(k):
+    """A text with others that are at most three bits from it."""
+    base = prose(k, 400)
+    return [base, *(t for t in (f"{base} end{i}" for i in range(60)) if (fingerprint(t) ^ fingerprint(base)).bit_count() <= 3)]
+
+
+def test_one_row_of_a_group_stays(spark):
+    a, b, *_ = near(3)
+    kept = lambda rows: [tuple(r) for r in unique_rows(docs(spark, rows)).collect()]
+    # Near copies without ids: one stays. An id comes before none.
+    assert len(kept([(None, a, None, None, None), (None, b, None, None, None)])) == 1
+    assert kept([(None, a, None, None, None), (4, b, None, None, None)]) == [(4, b, None, None, None)]
+    # An id with two texts is two documents, of which each has a group of its own.
+    other = prose(77, 50)
+    assert sorted(kept([(1, a, "en", "s", 1), (1, other, "en", "s", 2), (0, b, "en", "s", 3)])) == [(0, b, "en", "s", 3), (1, other, "en", "s", 2)]
+    # Rows that differ in other columns: the same one stays, however they come.
+    rows = [(5, a, lang, source, n) for lang in ("en", None) for source in ("x", "y") for n in (1, None)]
+    assert len({tuple(kept(r)) for r in (rows, rows[::-1], rows[3:] + rows[:3])}) == 1
 
 
 @pytest.mark.parametrize("max_bucket", [8192, 40])
