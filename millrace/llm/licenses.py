@@ -27,7 +27,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_array
+from .common import table, word_array, written
 
 MIN_COSINE = 0.6
 #: A document of at most so many words that states a licence is a licence file; so are those by name and by full text.
@@ -150,7 +150,8 @@ def _runs(parts):
 def stated(df: DataFrame, text_col: str = "text", templates=TEMPLATES, min_cosine: float = MIN_COSINE, full=FULL_TEXTS, file_cosine: float = FILE_COSINE) -> DataFrame:
     """(text_hash, license, cosine, whole) of the texts that state one; whole: the text is that licence."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    texts = df.select(low.alias("low"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")).where(F.col("low").rlike(CUE))
+    # Few texts have a cue: they are written once, and what follows reads them alone.
+    texts = written(df.select(low.alias("low"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")).where(F.col("low").rlike(CUE)))
     cued = lambda units: F.explode(F.filter(units, lambda x: x.rlike(CUE) & ~x.rlike(SPDX))).alias("unit")
     parts = F.split("low", "\n")
     found = [
