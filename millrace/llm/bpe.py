@@ -71,7 +71,9 @@ class Coder:
 
     def _plain(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, end, id) of the tokens of each text."""
-        return [[(x, y, i) for i, (x, y) in zip(e.ids, e.offsets, strict=True)] for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        # A single text is not worth waking other threads for.
+        found = [self.tok.encode(t, add_special_tokens=False) for t in texts] if len(texts) < 2 else self.tok.encode_batch(texts, add_special_tokens=False)
+        return [[(x, y, i) for i, (x, y) in zip(e.ids, e.offsets, strict=True)] for e in found]
 
     def tree(self, text: str) -> list[tuple[str, str, int]]:
         """Entries, one after another, of a long text, as the tokenizer encodes the whole. Words that no join has touched are to be learnt already."""
