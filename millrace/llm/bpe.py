@@ -32,6 +32,7 @@ SIGNS = rb"""!"#$%&'()*+,-./:;=>?@[\]^_`{|}~"""
 #: Characters on either side of a join in the first window.
 WINDOW = 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_GAP = re.compile(r"[\x20\x09-\x0D]")
 _SPACES = " \t\n\x0b\x0c\r"
 #: Words beyond which a worker begins a new table of what it has learnt, once the rows at hand are done; it keeps two.
 KNOWN = 100_000
@@ -78,16 +79,43 @@ class Coder:
     def tree(self, text: str) -> list[tuple[str, str, int]]:
         """Entries, one after another, of a long text, as the tokenizer encodes the whole. Words that no join has touched are to be learnt already."""
         cuts = [*range(0, len(text), self.leaf), len(text)]
-        parts = [(a, b, [(m.start(), m.end(), None) for m in _WORD.finditer(text, a, b)]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts = [(a, b, self._units(text, a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
         # What a cut leaves of a word is encoded with the join; longer runs than a window as they are, all of them side by side.
-        long = [(part, k) for _, _, part in parts for k in range(len(part)) if part[k][1] - part[k][0] > 4 * self.window]
+        long = [(part, k) for _, _, part in parts for k in range(len(part)) if part[k][2] is None and part[k][1] - part[k][0] > 4 * self.window]
         for (part, k), tokens in zip(long, self._plain([text[part[k][0] : part[k][1]] for part, k in long]), strict=True):
             start, end, _ = part[k]
             part[k] = start, end, [(start + x, start + y, i) for x, y, i in tokens]
         while len(parts) > 1:
             parts = [self._join(text, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         self.treed += len(text)
-        return [self.words[text[x:y].encode()] if tokens is None else self._entry([i for _, _, i in tokens]) for x, y, tokens in parts[0][2]]
+        known, out = self.words, []
+        for x, y, held in parts[0][2]:
+            if held is None:
+                out.append(known[text[x:y].encode()])
+            elif held and isinstance(held[0], bytes):
+                out += map(known.__getitem__, held)
+            else:
+                out.append(self._entry([i for _, _, i in held]))
+        return out
+
+    def _units(self, text: str, a: int, b: int) -> list:
+        """A leaf's words, those beyond the first windows' reach of its ends as one run."""
+        reach = 2 * self.window
+        first, last = _GAP.search(text, a + reach, b - reach), _GAP.search(text, max(a + reach, b - 2 * reach), b - reach)
+        words = text[first.end() : last.start()].encode().split() if first and last and first.end() < last.start() else []
+        if not words or len(max(words, key=len)) > 4 * self.window:
+            return [(m.start(), m.end(), None) for m in _WORD.finditer(text, a, b)]
+        head, tail = ([(m.start(), m.end(), None) for m in _WORD.finditer(text, x, y)] for x, y in ((a, first.start()), (last.end(), b)))
+        return [*head, (first.end(), last.start(), words), *tail]
+
+    @staticmethod
+    def _parted(text: str, units: list, k: int) -> int | None:
+        """Puts the words of a run in its place; how many units that adds, None if it is no run."""
+        start, end, held = units[k]
+        if not held or not isinstance(held[0], bytes):
+            return None
+        units[k : k + 1] = [(m.start(), m.end(), None) for m in _WORD.finditer(text, start, end)]
+        return len(held) - 1
 
     def _opened(self, text: str, unit) -> list[tuple[int, int, int]]:
         """The tokens of a unit, with their places."""
@@ -99,7 +127,7 @@ class Coder:
         return tokens
 
     def _join(self, text: str, left, right):
-        """left and right: (start, end, units); a unit is (start, end, tokens), or None for the tokens of a word as the table has them."""
+        """left and right: (start, end, units); a unit is (start, end, tokens), or None for the tokens of a word, a list of words for those of a run, as the table has them."""
         a, at, before = left
         _, b, after = right
         if text[at - 1] in _SPACES or text[at] in _SPACES:
@@ -110,10 +138,15 @@ class Coder:
             # Tokens of either side within the window's reach.
             k, near = len(before), []
             while k and before[k - 1][1] > lo:
+                if (more := self._parted(text, before, k - 1)) is not None:
+                    k += more
+                    continue
                 k -= 1
                 near = self._opened(text, before[k]) + near
             j, far = 0, []
             while j < len(after) and after[j][0] < hi:
+                if self._parted(text, after, j) is not None:
+                    continue
                 far = far + self._opened(text, after[j])
                 j += 1
             ((*own,),) = self._plain([text[lo:hi]])
@@ -162,8 +195,13 @@ class Coder:
     def learn(self, words) -> None:
         """Adds words to the table. The tokenizer lowers letters and cuts signs off them, so most words share a stem."""
         stems, known = self.stems, self.words
-        cut, new = [], set()
+        whole, cut, new = [], [], set()
         for w in words:
+            if w.isalpha() and self.names:  # ASCII letters alone, most words
+                stem = w.lower()
+                whole.append((w, stem))
+                new.add(stem)
+                continue
             stem, tail = w, b""
             if b"<" not in w and self.names:
                 stem = w.lower()
@@ -185,6 +223,8 @@ class Coder:
                 others.append((w, w.decode()))
         for w, ids in self._short(others):
             stems[w] = entry(ids)
+        for w, stem in whole:
+            known[w] = stems[stem]
         for w, stem, tail in cut:
             got = stems[stem]
             if tail:
@@ -200,14 +240,18 @@ class Coder:
         if len(self.stems) > self.known:
             self.stems, self.old_stems = {}, self.stems
         known = self.words
-        missing = {w for t, words in zip(texts, split, strict=True) for w in words if w not in known and (len(t) <= self.leaf or len(w) <= 16 * self.window)}  # bytes, of at most four a character
+        missing = set()
+        for t, words in zip(texts, split, strict=True):
+            new = set(words).difference(known)
+            missing |= new if len(t) <= self.leaf else {w for w in new if len(w) <= 16 * self.window}  # bytes, of at most four a character
         missing -= self._renewed(missing, self.old_words, known)
         if missing:
             self.learn(missing)
         out = []
         for t, words in zip(texts, split, strict=True):
             got = [g for g in (self.tree(t) if len(t) > self.leaf else map(known.__getitem__, words)) if g[2]]
-            out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])))
+            decimals, shown, counts = zip(*got, strict=True) if got else ((), (), ())
+            out.append((" ".join(decimals), " ".join(shown), sum(counts)))
         return out
 
 

@@ -87,6 +87,20 @@ def test_joins_encode_little_again(library, kind):
     assert coder.treed == len(text) and 0 < coder.again < 0.2 * len(text)
 
 
+def test_windows_that_reach_into_runs_of_words(library, monkeypatch):
+    """A run is put back as words where a window at a join grows into it; white space of several kinds, and long words between runs."""
+    r = random.Random(11)
+    parted = []
+    real = Coder._parted
+    monkeypatch.setattr(Coder, "_parted", staticmethod(lambda *a: (got := real(*a), parted.append(1) if got is not None else None)[0]))
+    coder = Coder(default_path(), leaf=400, window=16)
+    for _ in range(60):
+        words = [r.choice(["a", "e", "ha", "é"]) * r.choice([12, 24, 31, 80]) if r.random() < 0.15 else "".join(r.choices("abcdeé漢.,'", k=r.randrange(1, 10))) for _ in range(r.randrange(100, 500))]
+        text = "".join(w + r.choice([" ", "  ", "\n\t", "\x0b"]) for w in words)
+        assert coder.encode([text]) == [library(text)]
+    assert parted
+
+
 def test_long_documents_go_through_the_tree(spark, library):
     """Whole documents beyond a leaf, as the query sends them."""
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if len(r[0] or "") > LEAF]
