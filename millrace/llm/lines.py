@@ -26,7 +26,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-#: Texts and lines to remove beyond which they are joined by a shuffle.
+#: Lines above the limit beyond which they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -154,9 +154,8 @@ def kept_rows(
     gone = gone.withColumn("depleted", F.col("line_chars") - F.col("removed") < F.lit(min_share) * F.col("line_chars"))
     # Depleted texts go whole, so that their lines need not be known.
     gone = written(gone.select("host", "text_hash", "depleted", F.when(~F.col("depleted"), F.col("gone")).alias("gone")))
-    # Texts are shuffled only if the lines to remove are too many to broadcast.
-    held = gone.agg(F.count(F.lit(1)) + F.sum(F.coalesce(F.size("gone"), F.lit(0)))).first()[0]
-    gone = F.broadcast(gone) if (held or 0) <= MOST_BROADCAST else gone
+    # The lines to remove grow with the rows, so texts are shuffled to them once at every size, by one plan.
+    gone = gone.hint("merge")
     text = F.col(text_col)
     rows = df.select(F.struct("*").alias("row"), _host(host_col).alias("host"), _text_hash(text).alias("text_hash"), text.alias("text"))
     # Behind a generator, so that the optimiser does not push the filter, and with it a copy of all that it rests on, below each step.
