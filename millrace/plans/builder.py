@@ -99,13 +99,13 @@ class Builder:
         grouped = bool(query.group) or any(scope.aggregated(i.expr) for i in query.items) or any(scope.aggregated(k.expr) for k in query.order) or query.having is not None
         files = all(f.raw for t in scope.tables for f in t.fields)
         # Files have an order, which shows where the first rows are kept.
-        cut = query.distinct or query.rows > 0 and bool(query.joins)
+        cut = query.distinct or query.rows > 0 and (bool(query.joins) or any(t.place for t in scope.tables))
         if grouped and self._needs_order(query, scope) or not grouped and cut and not query.order and files and meet is None:
             for t in scope.tables:
-                t.df = t.df.withColumn(t.ordinal, F.monotonically_increasing_id())
+                t.number()
         df = self._joined(query, scope)
         if query.where is not None:
-            df, compiler = self._numbered(df, compiler, query.where)
+            df, compiler = self._numbered(df, compiler, query.where, scanned=not query.joins)
             df = self._filtered(df, query.where, compiler)
         if grouped:
             df, columns = self._grouped(query, scope, compiler, df, outputs)
@@ -220,13 +220,13 @@ class Builder:
         if not any(i in s for s in sides):
             raise QueryError("A join condition must use the joined file")
 
-    def _numbered(self, df: DataFrame, compiler: Compiler, *nodes: S.Node) -> tuple[DataFrame, Compiler]:
-        """Row numbers for the calls of inc() in the nodes."""
+    def _numbered(self, df: DataFrame, compiler: Compiler, *nodes: S.Node, scanned: bool = False) -> tuple[DataFrame, Compiler]:
+        """Row numbers for the calls of inc() in the nodes. scanned: rows stand as the scan of the one table has read them."""
         calls = {x for n in nodes for x in compiler.scope.expanded(n) if isinstance(x, S.Call) and x.name == "inc" and x not in compiler.known}
         if not calls:
             return df, compiler
         column = f"{INC}{len(compiler.known)}"
-        return number_rows(df, column), compiler.with_known({c: Expr(Kind.FLOAT, F.col(column)) for c in calls})
+        return number_rows(df, column, compiler.scope.tables[0].place if scanned else None), compiler.with_known({c: Expr(Kind.FLOAT, F.col(column)) for c in calls})
 
     def _filtered(self, df: DataFrame, node: S.Node, compiler: Compiler) -> DataFrame:
         """Rows that meet a predicate. An IN-subquery that all rows must pass is a semi or anti join; others mark their rows first."""
@@ -284,7 +284,7 @@ class Builder:
     def _plain(self, query: S.Query, compiler: Compiler, df: DataFrame, outputs: list[Output]) -> tuple[DataFrame, list[Column]]:
         nodes = [o.node for o in outputs if o.node is not None]
         if not query.order:
-            df, compiler = self._numbered(df, compiler, *nodes)
+            df, compiler = self._numbered(df, compiler, *nodes, scanned=_scanned(query))
             columns = [shown(o.value(compiler)) for o in outputs]
             if query.distinct:
                 names = [f"d{i}" for i in range(len(columns))]
@@ -297,7 +297,7 @@ class Builder:
                 df = df.orderBy(*ordinals)
             return (df.limit(query.rows) if query.rows else df), columns
         keys = [k.expr for k in query.order]
-        df, compiler = self._numbered(df, compiler, *keys)
+        df, compiler = self._numbered(df, compiler, *keys, scanned=_scanned(query))
         counted = [n for n in nodes if compiler.scope.calls_inc(n)]
         if counted and not query.distinct:
             # Rows are counted in the order in which they leave.
@@ -321,7 +321,7 @@ class Builder:
 
     def _grouped(self, query: S.Query, scope: Scope, compiler: Compiler, df: DataFrame, outputs: list[Output]) -> tuple[DataFrame, list[Column]]:
         asked = [o.node for o in outputs if o.node is not None] + [k.expr for k in query.order] + ([query.having] if query.having is not None else [])
-        df, compiler = self._numbered(df, compiler, *query.group, *asked)
+        df, compiler = self._numbered(df, compiler, *query.group, *asked, scanned=_scanned(query))
         keys = [compiler.value(g) for g in query.group]
         known: dict[S.Node, Expr] = {}
         made: list[Column] = []
@@ -411,6 +411,11 @@ class Builder:
         return all(self._phase_two(x, scope) for x in S.children(node))
 
 
+def _scanned(query: S.Query) -> bool:
+    """Whether no join has dealt the rows anew, an IN-subquery's either."""
+    return not query.joins and not any(isinstance(x, S.InQuery) for x in (S.walk(query.where) if query.where is not None else ()))
+
+
 def _outside(node: S.Node, known: dict):
     """Nodes of an expression, those below a known one left out."""
     if node in known:

@@ -276,12 +276,18 @@ def _scratch(spark: SparkSession) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/text-{uuid.uuid4().hex}"
 
 
+#: Rows of a file of text, about.
+FILE_ROWS = 500_000
+
+
 def as_text(spark: SparkSession, sf_dir: str, text: str, form: dict[str, str]) -> str:
-    """The query with its tables written as delimited text, a file each in the order of their first column."""
+    """The query with its tables written as delimited text in the order of their first column: a file each, or for large ones a file for each range."""
     at = _scratch(spark)
     for name in sorted(set(re.findall(r"\{(\w+)\}", text))):
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        writer = df.coalesce(1).sortWithinPartitions(df.columns[0]).write.option("escape", '"')
+        n = -(-df.count() // FILE_ROWS)
+        dealt = df.repartitionByRange(n, df.columns[0]) if n > 1 else df.coalesce(1)
+        writer = dealt.sortWithinPartitions(df.columns[0]).write.option("escape", '"')
         writer.options(**{"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", **form}).csv(f"{at}/{name}.csv")
         text = text.replace("{" + name + "}", f"'{at}/{name}.csv'")
     return text

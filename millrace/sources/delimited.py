@@ -9,6 +9,7 @@ from ..errors import QueryError
 from ..functions.convert import from_text
 from ..plans import types as T
 from ..plans.types import Kind
+from .table import PLACE
 
 #: Rows that inference looks at.
 SAMPLE = 10_000
@@ -33,8 +34,9 @@ def narrowest(cell: Column) -> Column:
 
 def kinds_of(df: DataFrame, sample: int = SAMPLE) -> list[Kind]:
     """The widest kind of each column over the first rows; text for a column without values."""
-    row = df.limit(sample).select([narrowest(F.col(c)).alias(c) for c in df.columns]).agg(*[F.max(c).alias(c) for c in df.columns]).first()
-    return [Kind(k) if k else Kind.TEXT for k in row]
+    # A limit at the top takes the first rows in order and stops there; below an aggregate it would take some of every task.
+    rows = df.select([narrowest(F.col(c)).alias(c) for c in df.columns]).limit(sample).collect()
+    return [Kind(k) if k else Kind.TEXT for k in map(max, zip(*rows))] if rows else [Kind.TEXT] * len(df.columns)
 
 
 def delimiter(path: str, options: frozenset[str]) -> str:
@@ -72,6 +74,9 @@ def read(spark: SparkSession, path: str, options: frozenset[str], multiline: boo
     names = [x if header and x else f"col{i}" for i, x in enumerate(cells, 1)]
     df = whole(spark.read).csv(path)
     kinds = kinds_of(df)
+    if not stream and len(df.inputFiles()) > 1:
+        # Spark reads files by size: their names tell the order.
+        df = df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]))
     if stream:
         reader = whole(spark.readStream)
         df = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).csv(path)

@@ -11,6 +11,10 @@ from ..functions.convert import Expr, from_text, kind_of, text_of
 from ..plans.types import Kind
 
 
+#: Columns of a DataFrame that say where a row of delimited text stands, beside its fields: file, and start of the split.
+PLACE = ("_path", "_start")
+
+
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -55,16 +59,25 @@ class Table:
     names: set[str]
     #: Column that orders the rows, where the query needs one.
     ordinal: str
+    #: Columns for file and split, where the rows come from several files.
+    place: list[str]
 
     @staticmethod
     def of(df: DataFrame, names: list[str], kinds: list[Kind], raw: bool, named: bool, aliases: set[str], number: int, ordered: bool) -> Table:
         """df renamed apart from the query's other tables."""
         columns = [f"t{number}_{i}" for i in range(len(names))]
         ordinal = f"t{number}_ord"
-        out = df.toDF(*columns)
+        # The columns of the place come after those of the fields.
+        place = [f"t{number}{p}" for p in PLACE if raw and len(df.columns) > len(names)]
+        table = Table(df.toDF(*columns, *place), [Field(n, k, c, raw) for n, k, c in zip(names, kinds, columns, strict=True)], named, aliases, ordinal, place)
         if ordered:
-            out = out.withColumn(ordinal, F.monotonically_increasing_id())
-        return Table(out, [Field(n, k, c, raw) for n, k, c in zip(names, kinds, columns, strict=True)], named, aliases, ordinal)
+            table.number()
+        return table
+
+    def number(self) -> None:
+        """Adds the ordinal: by files and their splits, then by the scan, which reads a single file in order."""
+        own = F.monotonically_increasing_id()
+        self.df = self.df.withColumn(self.ordinal, F.struct(*self.place, own.alias("_row")) if self.place else own)
 
     def find(self, name: str) -> Field | None:
         return next((f for f in self.fields if f.name == name), None)

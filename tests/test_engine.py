@@ -304,3 +304,19 @@ def test_command_line(capsys, cities, tmp_path, spark):
     assert out("-j", f"select c1 from '{cities}' NH")[1].startswith('{"query"') and out("-w", f"select c1 from '{cities}' NH")[1].startswith("<table")
     assert out("selekt a from b c d")[0] == out("select {}")[0] == 1
     assert out("-v")[0] == 0
+
+
+def test_several_files_keep_their_order(spark, tmp_path):
+    """Spark reads the largest file first; rows count by the files' names."""
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    at = 0
+    for i, n in enumerate((3, 40, 200, 7)):
+        (folder / f"part-{i}.csv").write_text("n,k\n" + "".join(f"{j},{'abcd'[j % 4]}\n" for j in range(at, at + n)))
+        at += n
+    rows = lambda text: [tuple(r) for r in Engine(spark).sql(text.format(f"'{folder}'")).collect()]
+    assert rows("select n + 0 as v from {} limit 5") == [(i,) for i in range(5)]
+    assert sorted(rows("select inc() as i, n + 1 as v from {}")) == [(float(i), i) for i in range(1, at + 1)]
+    assert sorted(rows("select inc() as i, n + 0 as v from {} where n > 1")) == [(float(i - 1), i) for i in range(2, at)]
+    assert rows("select distinct top 3 k from {}") == [("a",), ("b",), ("c",)]
+    assert rows("select k, n, n + 0 as last from {} group by k") == [(c, str(i), at - 1 - (at - 1 - i) % 4) for i, c in enumerate("abcd")]

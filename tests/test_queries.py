@@ -1,9 +1,11 @@
 """Every query of the engine against its SQL, on the smallest tables."""
 
 import re
+from pathlib import Path
 
 import pytest
-from millrace.queries import LANGUAGE, ORACLE, QUERIES
+from millrace import queries
+from millrace.queries import LANGUAGE, ORACLE, QUERIES, TEXT
 
 from .compare import connection, same
 
@@ -39,3 +41,17 @@ def test_entry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(TEXT))
+def test_text_in_several_files(spark, con, name, monkeypatch):
+    """Large tables are written and read by many tasks: no file, and so no task, holds a whole table."""
+    monkeypatch.setattr(queries, "FILE_ROWS", 150)
+    same(QUERIES[name](spark, SF), con, ORACLE[name])
+
+
+def test_text_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_ROWS", 150)
+    at = queries.as_text(spark, SF, "{orders}", {}).strip("'")
+    sizes = [len(p.read_text().splitlines()) - 1 for p in Path(at).glob("*.csv")]
+    assert sum(sizes) == 1500 and len(sizes) == 10 and max(sizes) < 300
