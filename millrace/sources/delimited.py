@@ -9,6 +9,7 @@ from ..errors import QueryError
 from ..functions.convert import from_text
 from ..plans import types as T
 from ..plans.types import Kind
+from . import quoted
 from .table import PLACE
 
 #: Rows that inference looks at.
@@ -17,6 +18,9 @@ DELIMITERS = {"S": " ", "P": "|", "T": "\t"}
 #: What happens to a row with fewer or more fields than the first one.
 RAGGED = {"raise": "FAILFAST", "pad": "PERMISSIVE", "drop": "DROPMALFORMED"}
 
+#: Names a column for rows to drop.
+BAD = "_bad"
+
 
 def narrowest(cell: Column) -> Column:
     """The kind of one cell; empty cells, null and NA say nothing."""
@@ -44,22 +48,55 @@ def delimiter(path: str, options: frozenset[str]) -> str:
     return found or ("\t" if path.endswith(".tsv") else ",")
 
 
-def _with_options(reader, sep: str, multiline: bool):
-    out = reader.option("sep", sep).option("escape", '"').option("multiLine", multiline).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("emptyValue", "")
-    return out if sep == "," else out.option("quote", "")  # quotes have a meaning with commas alone
+def _options(sep: str, multiline: bool) -> dict[str, str]:
+    out = {"sep": sep, "escape": '"', "multiLine": str(multiline).lower(), "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "emptyValue": ""}
+    return out if sep == "," else out | {"quote": ""}  # quotes have a meaning with commas alone
+
+
+def _breaks(spark: SparkSession, path: str) -> dict[str, str] | None:
+    """The line break of each file, if some file is larger than a task should read and all can be cut at line feeds: neither compressed nor with carriage returns alone."""
+    state, jvm = spark._jsparkSession.sessionState(), spark._jvm
+    limit = state.conf().filesMaxPartitionBytes()
+    files = spark.read.format("binaryFile").load(path).select("length", "_metadata.file_path")
+    if files.agg(F.max("length")).first()[0] <= limit:
+        return None
+    conf = state.newHadoopConf()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out = {}
+    for _, f in files.collect():
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        if codecs.getCodec(p) is not None:
+            return None
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            # Spark's parser, too, goes by the first line break.
+            out[f] = jvm.java.util.Scanner(stream, "ISO-8859-1").findWithinHorizon("\r\n|\r|\n", 1 << 20) or "\n"
+        finally:
+            stream.close()
+    return None if "\r" in out.values() else out
+
+
+def _parsed(rows: DataFrame, width: int, sep: str, ragged: str) -> DataFrame:
+    """Records of `quoted` as the reader would give them. The delimiter after each makes one more field, which is empty."""
+    columns = [f"c{i}" for i in range(width)]
+    schema = ", ".join(f"{c} string" for c in [*columns, "_after", *([BAD] if ragged == "drop" else [])])
+    options = _options(sep, False) | {"mode": "PERMISSIVE" if ragged == "drop" else RAGGED[ragged], "columnNameOfCorruptRecord": BAD}
+    out = rows.select(F.from_csv(F.col("record").cast("string"), schema, options).alias("_f"), *PLACE).select("_f.*", *PLACE)
+    return (out.where(F.col(BAD).isNull()) if ragged == "drop" else out).select(*columns, *PLACE)
 
 
 def read(spark: SparkSession, path: str, options: frozenset[str], multiline: bool = True, ragged: str = "raise", stream: bool = False, files_per_batch: int | None = None) -> tuple[DataFrame, list[str], list[Kind], bool]:
     """Rows as text, names, kinds, and whether the names come from a header.
 
-    Quoted fields may span lines, so a file is one task; `multiline=False` lets Spark split files that hold no quoted
-    line breaks. Only `sample` rows and the first one are looked at before the query runs. stream: the rows go on with
-    files that come to the folder later.
+    Quoted fields may span lines. Files larger than a split are asked first, by all tasks, whether any does; if not,
+    Spark splits them, else `quoted` does. `multiline=False` says that none does and saves the question. Of other files
+    only the sample and the first row are looked at before the query runs. stream: the rows go on with files that come to
+    the folder later, a file to a task.
     """
     if ragged not in RAGGED:
         raise QueryError(f"ragged must be one of {', '.join(RAGGED)}")
     sep = delimiter(path, options)
-    first = _with_options(spark.read, sep, multiline).csv(path).limit(1).collect()
+    first = spark.read.options(**_options(sep, multiline)).csv(path).limit(1).collect()
     if not first:
         raise QueryError(f"{path} has no rows")
     cells = [x or "" for x in first[0]]
@@ -70,14 +107,23 @@ def read(spark: SparkSession, path: str, options: frozenset[str], multiline: boo
     else:
         header = not any(T.re.match(T.INTEGER, x) or T.re.match(T.DECIMAL, x) for x in cells)
     schema = ", ".join(f"c{i} string" for i in range(len(cells)))
-    whole = lambda reader: _with_options(reader, sep, multiline).schema(schema).option("header", header).option("enforceSchema", True).option("mode", RAGGED[ragged])
+    whole = lambda reader, multiline: reader.options(**_options(sep, multiline)).schema(schema).option("header", header).option("enforceSchema", True).option("mode", RAGGED[ragged])
     names = [x if header and x else f"col{i}" for i, x in enumerate(cells, 1)]
-    df = whole(spark.read).csv(path)
-    kinds = kinds_of(df)
-    if not stream and len(df.inputFiles()) > 1:
-        # Spark reads files by size: their names tell the order.
-        df = df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]))
+    df = whole(spark.read, multiline).csv(path)
+    if not stream:
+        files = df.inputFiles()
+        breaks = _breaks(spark, path) if multiline else None
+        cut = breaks is not None
+        start = quoted.starts(spark, path) if cut and sep == "," else None
+        if start:
+            df = _parsed(quoted.records(spark, path, start, header, {f for f, x in breaks.items() if x == "\r\n"}), len(cells), sep, ragged)
+        else:
+            df = whole(spark.read.option("lineSep", "\n") if cut else spark.read, multiline and not cut).csv(path)
+            df = df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]))
+        if len(files) == 1:
+            df = df.drop(*PLACE)  # Spark reads files by size: the names of several tell their order.
+    kinds = kinds_of(df.select(*[f"c{i}" for i in range(len(cells))]))
     if stream:
-        reader = whole(spark.readStream)
+        reader = whole(spark.readStream, multiline)
         df = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).csv(path)
     return df, names, kinds, header

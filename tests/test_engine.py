@@ -1,3 +1,5 @@
+import csv
+import random
 from datetime import datetime
 
 import pytest
@@ -320,3 +322,52 @@ def test_several_files_keep_their_order(spark, tmp_path):
     assert sorted(rows("select inc() as i, n + 0 as v from {} where n > 1")) == [(float(i - 1), i) for i in range(2, at)]
     assert rows("select distinct top 3 k from {}") == [("a",), ("b",), ("c",)]
     assert rows("select k, n, n + 0 as last from {} group by k") == [(c, str(i), at - 1 - (at - 1 - i) % 4) for i, c in enumerate("abcd")]
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_files_are_read_by_many_tasks(spark, files, small_splits):
+    for name, sep in (("l.csv", ","), ("l.tsv", "\t")):
+        p = files(name, f"n{sep}t\n" + "".join(f'{i}{sep}"x {i}"\n' for i in range(300)))
+        got = Engine(spark).sql(f"select n + 0 as v, t from '{p}'")
+        quote = "" if sep == "," else '"'
+        assert got.rdd.getNumPartitions() > 5
+        assert [tuple(r) for r in got.collect()] == [(i, f"{quote}x {i}{quote}") for i in range(300)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("longest", [3, 60])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, small_splits, end, longest):
+    """Records of up to several splits, some of whose lines look like records."""
+    rnd, p, folder = random.Random(longest), tmp_path / "q.csv", tmp_path / "q"
+    text = lambda: "t" + "\n".join(rnd.choice(["", "a", '"b", c', '7,"', '""', "8,x", "é"]) for _ in range(rnd.randint(1, longest)))
+    rows = [(i, text() if i % 3 else "plain", i * 2) for i in range(200)]
+
+    def write(path, rows):
+        with open(path, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator=end).writerows([("n", "t", "m"), *((a, b.replace("\n", end), c) for a, b, c in rows)])
+
+    write(p, rows)
+    read = lambda text: Engine(spark).sql(text)
+    got = read(f"select n + 0 as v, t, m + 0 as w from '{p}'")
+    assert got.rdd.getNumPartitions() > 5
+    assert [tuple(r) for r in got.collect()] == rows
+    folder.mkdir()
+    for i, (a, b) in enumerate(((0, 20), (20, 120), (120, 200))):
+        write(folder / f"{i}.csv", rows[a:b])
+    assert sorted(tuple(r) for r in read(f"select inc() as i, n + 0 as v, t from '{folder}'").collect()) == [(float(i + 1), i, t) for i, t, _ in rows]
+
+
+def test_ragged_rows_of_large_files(spark, files, small_splits):
+    p = files("r.csv", "a,b\n" + '1,"x\ny"\n' * 60 + '3\n5,6,7\n5,"a" b"c\n' + "9,10\n" * 60)
+    with pytest.raises(Exception):
+        Engine(spark).sql(f"'{p}'").collect()
+    rest = [("5", '"a" b"c')] + [("9", "10")] * 60
+    assert [tuple(r) for r in Engine(spark, Options(ragged="pad")).sql(f"'{p}'").collect()][60:] == [("3", None), ("5", "6"), *rest]
+    assert [tuple(r) for r in Engine(spark, Options(ragged="drop")).sql(f"'{p}'").collect()][60:] == rest
