@@ -10,6 +10,7 @@ from millrace import sinks
 from millrace.functions.cipher import siphash
 from millrace.operators.ordinals import number_rows
 from millrace.plans.types import Kind
+from millrace.sources import delimited
 
 
 @pytest.fixture
@@ -371,3 +372,11 @@ def test_ragged_rows_of_large_files(spark, files, small_splits):
     rest = [("5", '"a" b"c')] + [("9", "10")] * 60
     assert [tuple(r) for r in Engine(spark, Options(ragged="pad")).sql(f"'{p}'").collect()][60:] == [("3", None), ("5", "6"), *rest]
     assert [tuple(r) for r in Engine(spark, Options(ragged="drop")).sql(f"'{p}'").collect()][60:] == rest
+
+
+def test_kinds_come_from_the_first_rows_of_a_split_file(spark, files, small_splits, monkeypatch):
+    """Not from rows that later tasks hold: the sample is the same however many tasks read the file."""
+    monkeypatch.setattr(delimited.kinds_of, "__defaults__", (50,))
+    p = files("k.csv", "n\n" + "".join(f"{i}\n" for i in range(100, 500)) + "".join(f"{i}.5\n" for i in range(400)))
+    _, _, kinds, _ = delimited.read(spark, p, frozenset("H"))
+    assert kinds == [Kind.INT]
