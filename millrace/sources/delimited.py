@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .table import PLACE
 
 #: Rows that inference looks at.
 SAMPLE = 10_000
+#: Bytes of small files that it looks at together.
+TOGETHER = 1 << 18
 DELIMITERS = {"S": " ", "P": "|", "T": "\t"}
 #: What happens to a row with fewer or more fields than the first one.
 RAGGED = {"raise": "FAILFAST", "pad": "PERMISSIVE", "drop": "DROPMALFORMED"}
@@ -36,11 +40,15 @@ def narrowest(cell: Column) -> Column:
     )
 
 
-def kinds_of(df: DataFrame, sample: int = SAMPLE) -> list[Kind]:
-    """The widest kind of each column over the first rows; text for a column without values."""
-    # A limit at the top takes the first rows in order and stops there; below an aggregate it would take some of every task.
-    rows = df.select([narrowest(F.col(c)).alias(c) for c in df.columns]).limit(sample).collect()
-    return [Kind(k) if k else Kind.TEXT for k in map(max, zip(*rows))] if rows else [Kind.TEXT] * len(df.columns)
+def kinds_of(parts: Iterable[DataFrame], width: int, sample: int = SAMPLE) -> list[Kind]:
+    """The widest kind of each column over the first rows of the parts; text for a column without values."""
+    rows: list[tuple] = []
+    for df in parts:
+        # A limit at the top takes the first rows in order and stops there; below an aggregate it would take some of every task.
+        rows += df.select([narrowest(F.col(f"c{i}")) for i in range(width)]).limit(sample - len(rows)).collect()
+        if len(rows) >= sample:
+            break
+    return [Kind(k) if k else Kind.TEXT for k in map(max, zip(*rows))] if rows else [Kind.TEXT] * width
 
 
 def delimiter(path: str, options: frozenset[str]) -> str:
@@ -53,6 +61,42 @@ def _options(sep: str, multiline: bool) -> dict[str, str]:
     return out if sep == "," else out | {"quote": ""}  # quotes have a meaning with commas alone
 
 
+def _by_name(spark: SparkSession, path: str) -> list[str]:
+    """The path, or the files there by their names, as a reader takes them."""
+    files = sorted(spark.read.schema("c0 string").csv(path).inputFiles())
+    if len(files) < 2:
+        return [path]
+    jvm = spark._jvm
+    # Names may hold the signs of patterns.
+    return [T.re.sub(r"([\\{}\[\]*?])", r"\\\1", jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString()) for f in files]
+
+
+def _parts(spark: SparkSession, paths: list[str], reader: Callable[[list[str]], DataFrame]) -> Iterator[DataFrame]:
+    """Files by their names, one by one or small ones together: Spark reads the largest first."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def size(path: str) -> int:
+        p = jvm.org.apache.hadoop.fs.Path(T.re.sub(r"\\(.)", r"\1", path))
+        return p.getFileSystem(conf).getFileStatus(p).getLen()
+
+    some, held = [], 0
+    for p in paths:
+        n = size(p)
+        if some and held + n > TOGETHER:
+            yield _ordered(reader(some), len(some))
+            some, held = [], 0
+        some.append(p)
+        held += n
+    yield _ordered(reader(some), len(some))
+
+
+def _ordered(df: DataFrame, files: int) -> DataFrame:
+    """A few small files in the order of their names."""
+    if files == 1:
+        return df
+    return df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.monotonically_increasing_id().alias("_row")).orderBy(PLACE[0], "_row")
+
+
 def _breaks(spark: SparkSession, path: str) -> dict[str, str] | None:
     """The line break of each file, if some file is larger than a task should read and all can be cut at line feeds: neither compressed nor with carriage returns alone."""
     state, jvm = spark._jsparkSession.sessionState(), spark._jvm
@@ -96,7 +140,8 @@ def read(spark: SparkSession, path: str, options: frozenset[str], multiline: boo
     if ragged not in RAGGED:
         raise QueryError(f"ragged must be one of {', '.join(RAGGED)}")
     sep = delimiter(path, options)
-    first = spark.read.options(**_options(sep, multiline)).csv(path).limit(1).collect()
+    paths = _by_name(spark, path)
+    first = next((rows for p in paths if (rows := spark.read.options(**_options(sep, multiline)).csv(p).limit(1).collect())), None)
     if not first:
         raise QueryError(f"{path} has no rows")
     cells = [x or "" for x in first[0]]
@@ -110,8 +155,8 @@ def read(spark: SparkSession, path: str, options: frozenset[str], multiline: boo
     whole = lambda reader, multiline: reader.options(**_options(sep, multiline)).schema(schema).option("header", header).option("enforceSchema", True).option("mode", RAGGED[ragged])
     names = [x if header and x else f"col{i}" for i, x in enumerate(cells, 1)]
     df = whole(spark.read, multiline).csv(path)
+    parts = [df] if len(paths) == 1 else _parts(spark, paths, whole(spark.read, multiline).csv)
     if not stream:
-        files = df.inputFiles()
         breaks = _breaks(spark, path) if multiline else None
         cut = breaks is not None
         start = quoted.starts(spark, path) if cut and sep == "," else None
@@ -120,9 +165,9 @@ def read(spark: SparkSession, path: str, options: frozenset[str], multiline: boo
         else:
             df = whole(spark.read.option("lineSep", "\n") if cut else spark.read, multiline and not cut).csv(path)
             df = df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]))
-        if len(files) == 1:
-            df = df.drop(*PLACE)  # Spark reads files by size: the names of several tell their order.
-    kinds = kinds_of(df.select(*[f"c{i}" for i in range(len(cells))]))
+        if len(paths) == 1:
+            df, parts = df.drop(*PLACE), [df]  # Spark reads files by size: the names of several tell their order.
+    kinds = kinds_of(parts, len(cells))
     if stream:
         reader = whole(spark.readStream, multiline)
         df = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).csv(path)

@@ -325,6 +325,24 @@ def test_several_files_keep_their_order(spark, tmp_path):
     assert rows("select k, n, n + 0 as last from {} group by k") == [(c, str(i), at - 1 - (at - 1 - i) % 4) for i, c in enumerate("abcd")]
 
 
+@pytest.mark.parametrize("together", [1, 60, 1 << 18])
+def test_kinds_come_from_the_first_rows_of_several_files(spark, tmp_path, monkeypatch, together):
+    """By the files' names, as for the same rows in one file: not from the largest file, which Spark reads first."""
+    monkeypatch.setattr(delimited.kinds_of, "__defaults__", (50,))
+    monkeypatch.setattr(delimited, "TOGETHER", together, raising=False)
+    cells = [str(i) for i in range(30)] + [f"{i}.5" for i in range(20)] + [f"x{i}" for i in range(400)]
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("")
+    for name, a, b in (("1 a", 0, 5), ("2*", 5, 30), ("3%20", 30, 35), ("4", 35, 60), ("5", 60, 450)):
+        (folder / f"part-{name}.csv").write_text("n\n" + "".join(f"{c}\n" for c in cells[a:b]))
+    one = tmp_path / "one.csv"
+    one.write_text("n\n" + "".join(f"{c}\n" for c in cells))
+    for at in (folder, one):
+        _, names, kinds, _ = delimited.read(spark, str(at), frozenset("H"))
+        assert (names, kinds) == (["n"], [Kind.FLOAT]), at
+
+
 @pytest.fixture
 def small_splits(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
